@@ -414,6 +414,10 @@ def train(training_pages: int = 700, seed: int = 11) -> Boosted:
     return boost(x, np.concatenate([truth(p) for p in pages]), np.concatenate(weights))
 
 
+#: Log-likelihood that a cut inside the article must gain, as most of an article's parts belong to it.
+CUT_COST = 1.0
+
+
 def decode(page: Page, margin: np.ndarray) -> list[int]:
     """1 for each node inside the article; along a path: outside, inside, cut."""
     n = len(page.tag)
@@ -425,13 +429,13 @@ def decode(page: Page, margin: np.ndarray) -> list[int]:
     for i in range(n - 1, 0, -1):
         p = page.parent[i]
         cut[p] += cut[i]
-        within[p] += max(within[i], cut[i])
+        within[p] += max(within[i], cut[i] - CUT_COST)
         above[p] += max(above[i], within[i])
     state = [0] * n  # 0 outside, 1 inside, 2 cut
     state[0] = 0 if above[0] >= within[0] else 1
     for i in range(1, n):
         up = state[page.parent[i]]
-        state[i] = 2 if up == 2 else (1 if within[i] >= cut[i] else 2) if up == 1 else (1 if within[i] > above[i] else 0)
+        state[i] = 2 if up == 2 else (1 if within[i] >= cut[i] - CUT_COST else 2) if up == 1 else (1 if within[i] > above[i] else 0)
     return [s == 1 for s in state]
 
 

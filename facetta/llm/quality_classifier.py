@@ -37,10 +37,10 @@ class Settings:
     #: Bound of the labelled sample that is fitted and broadcast.
     neighbours_from: int = 4096
     rank: int = 64
-    k: int = 24
+    k: int = 8
     threshold: float = 0.3
     #: Weight of the shape features against the unit length of the byte pairs.
-    shape: float = 0.35
+    shape: float = 0.8
     #: Documents of a cosine block.
     block: int = 1024
 

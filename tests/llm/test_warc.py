@@ -50,7 +50,7 @@ def test_payloads_and_small_segments(spark, tmp_path):
 
 
 def test_files_are_plain_warc(spark, tmp_path):
-    warc.write_warc(spark.createDataFrame(EDGES[2:3], "page_id long, url string, html string"), str(tmp_path / "w"))
+    warc.write_warc(spark.createDataFrame(EDGES[2:3], "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
     (name,) = glob.glob(str(tmp_path / "w/*.gz"))
     data = gzip.open(name).read()
     assert data.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and data.endswith(b"0\r\n\r\n\r\n\r\n")
