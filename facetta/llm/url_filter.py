@@ -29,7 +29,9 @@ UNWANTED = (
 WANTED = (
     "library museum city-news daily-times science-blog garden-notes university cooking-school weather history-today travel-diary "
     "open-maps physics-lab health-info book-review photo-archive music-school farm-life letters civic-forum river-watch bird-guide "
-    "math-notes linux-docs language-club north-star tionsh therha ththan ererth ondthe stinger anthon hethat lingua wandern maison hill-walks mill-history"
+    "math-notes linux-docs language-club north-star tionsh therha ththan ererth ondthe stinger anthon hethat lingua wandern maison hill-walks mill-history "
+    "hotels hospital recipes railway theatre painting geology chess-club forest pottery harbour village college archive bakery orchard "
+    "sailing printing weaving botany museum-shop astronomy poetry records station bridges castles meadow winter-sports skills"
 ).split()
 HOSTS = ("www.{}.com", "blog.{}.example.org", "{}.example.com", "m.{}.org", "{}.net")
 PATHS = ("/", "/en/381", "/fr/5520.html", "/de/77/", "/es/1204?page=2")
