@@ -19,22 +19,22 @@ from pyspark.sql import functions as F
 
 from facetta.llm.common import lower_ascii, row_hash, stored
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word before lower-casing.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Prefix words that may be broadcast; beyond, Spark shuffles both sides.
 MOST_BROADCAST = 200_000
 
 
-def words(text: Column) -> Column:
-    """The words of a text, empty for null; splitting at gaps leaves empty ends, which are trimmed before."""
-    lower = F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), f"^{GAP}|{GAP}$", "")
-    return F.when(lower == "", F.array().cast("array<string>")).otherwise(F.split(lower, GAP))
+def parts(text: Column) -> Column:
+    """The words of a text between its gaps; a gap at either end leaves an empty part, which is no word."""
+    return F.split(lower_ascii(F.coalesce(text, F.lit(""))), GAP)
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     """item, w (window words) and n (their number), one row per distinct window of an item."""
-    base = benchmark.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
+    base = benchmark.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item"), F.array_remove(parts(F.col("text")), "").alias("ws")).filter(F.size("ws") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - window + 1, F.lit(1)))
     return base.select("item", "ws", F.explode(starts).alias("s")).select("item", F.expr(f"slice(ws, s, {window})").alias("w")).distinct().withColumn("n", F.size("w"))
 
@@ -50,7 +50,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     windows, _ = stored(spark, item_windows(benchmark, window), "benchmark-windows")
     vocabulary = windows.select(F.explode("w").alias("word")).distinct()
     texts = docs.select("doc_id", "text")
-    each = texts.select(F.explode(words(F.col("text"))).alias("word"))
+    each = texts.select(F.explode(parts(F.col("text"))).alias("word"))
     counts = each.join(sized(vocabulary, MOST_BROADCAST), "word", "left_semi").groupBy("word").agg(F.count("*").alias("c"))
     counts, _ = stored(spark, counts, "benchmark-words")
 
@@ -59,12 +59,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     # an absent word rules its window out at once
     rarest = ranked.groupBy("w", "n").agg(F.min(F.struct("c", "word", "o")).alias("p")).filter("p.c > 0").select("w", "n", "p.word", "p.o")
     rarest, _ = stored(spark, rarest, "benchmark-prefixes")
-    prefix = rarest.select(F.col("word").alias("pw")).distinct()
-
-    placed = texts.select("doc_id", row_hash(F.col("text")).alias("h"), words(F.col("text")).alias("ws")).select("doc_id", "h", "ws", F.posexplode("ws").alias("i", "word"))
-    met = placed.join(sized(prefix, MOST_BROADCAST), placed.word == prefix.pw, "left_semi")
     probes = rarest.select(F.col("word").alias("pw"), "o", "n", "w")
-    found = met.join(sized(probes, MOST_BROADCAST), F.col("word") == F.col("pw"))
+    split = texts.select("doc_id", row_hash(F.col("text")).alias("h"), parts(F.col("text")).alias("ws"))
+    if probes.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        found = split.select("*", F.posexplode("ws").alias("i", "word")).join(F.broadcast(probes), F.col("word") == F.col("pw"))
+    else:  # words alone are shuffled; their documents join the candidates
+        places = split.select("doc_id", "h", F.posexplode("ws").alias("i", "word")).join(probes, F.col("word") == F.col("pw"))
+        own = split.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "ws").dropDuplicates(["__id", "__h"])
+        found = places.join(own, places.doc_id.eqNullSafe(own["__id"]) & (places.h == own["__h"]))
     found = found.filter("i >= o and i - o + n <= size(ws)").filter("slice(ws, i - o + 1, n) = w")
     starts = found.select("doc_id", "h", F.expr("i - o").alias("s"), F.expr("i - o + n - 1").alias("e"), "w").distinct()
     return starts.join(windows.select("w", "item"), "w").select("doc_id", "h", "s", "e", "item")
@@ -83,7 +85,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         covered.doc_id.alias("__id"), covered.h.alias("__h"), "n_hit", F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("joined")
     )
     per, _ = stored(spark, per, "benchmark-documents")
-    n_words = F.coalesce(F.regexp_count(lower_ascii(F.col("text")), F.lit(WORD)), F.lit(0)).cast("long")
+    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select("doc_id", row_hash(F.col("text")).alias("row_hash"), n_words.alias("n_words"))
     joined = rows.join(per, rows.doc_id.eqNullSafe(per["__id"]) & (rows.row_hash == per["__h"]), "left")
     return joined.select(
