@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from facetta.llm.common import lower_ascii, row_hash, stored
 
-#: A word before lower-casing.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A gap before lower-casing.
+RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Prefix words that may be broadcast; beyond, Spark shuffles both sides.
 MOST_BROADCAST = 200_000
@@ -85,7 +85,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         covered.doc_id.alias("__id"), covered.h.alias("__h"), "n_hit", F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("joined")
     )
     per, _ = stored(spark, per, "benchmark-documents")
-    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), RAW_GAP), "")).cast("long")
     rows = docs.select("doc_id", row_hash(F.col("text")).alias("row_hash"), n_words.alias("n_words"))
     joined = rows.join(per, rows.doc_id.eqNullSafe(per["__id"]) & (rows.row_hash == per["__h"]), "left")
     return joined.select(
