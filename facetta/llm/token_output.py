@@ -15,6 +15,7 @@ of their text's hash. A null doc_id comes first. An empty table writes no blocks
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -38,42 +39,94 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A piece of letters that neither composition nor context can change, and signs that make a token run of their own.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+)([.,;:!?|$%&*#]*)")
+
+
 class PieceEncoder:
-    """Encodes by pieces between ASCII white space, which no token of the vocabulary crosses, and remembers pieces."""
+    """Encodes by pieces between ASCII white space, which no token of the vocabulary crosses, and remembers pieces.
+
+    Pieces of plain letters with signs behind are encoded by their lower-cased letters, which many pieces share.
+    The memory stops growing at its bound, for composed pieces sooner than for letters; what comes later is encoded
+    each time it is met.
+    """
 
-    def __init__(self, path: str, most: int = 300_000, longest: int = 48) -> None:
+    def __init__(self, path: str, most: int = 1_200_000, at_once: int = 1 << 20) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.tokenizer, self.most, self.at_once = Tokenizer.from_file(path), most, at_once
+        n = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if n <= 1 << 16 else "<u4")
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(n)])
         self.known: dict[bytes, bytes] = {}
 
-    def learn(self, pieces: list[bytes]) -> None:
-        """Encode new pieces together; the word numbers tell whose ids they are."""
-        if len(self.known) + len(pieces) > self.most:
-            self.known.clear()
+    def of_pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Any pieces, encoded together; word numbers tell whose ids they are."""
+        if not pieces:
+            return {}
         found = self.tokenizer.encode([p.decode("utf8") for p in pieces], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, self.kind)
-        of = np.array(found.word_ids, np.int64) if len(ids) else np.zeros(0, np.int64)
-        cuts = np.searchsorted(of, np.arange(len(pieces) + 1)) * self.kind.itemsize
-        data = ids.tobytes()
-        self.known.update(zip(pieces, (data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()))))
+        ids, of = np.array(found.ids, self.kind), np.array(found.word_ids, np.int64)
+        return self.cut(pieces, ids, np.searchsorted(of, np.arange(len(pieces) + 1)))
+
+    def of_cores(self, cores: list[bytes]) -> dict[bytes, bytes]:
+        """Plain letters, encoded as one text; each ends with the only id that ends a word."""
+        found: dict[bytes, bytes] = {}
+        for i in range(0, len(cores), 4096):
+            part = cores[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode("utf8")], add_special_tokens=False)[0].ids, self.kind)
+            cuts = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
+            found |= self.cut(part, ids, cuts) if len(cuts) == len(part) + 1 else self.of_pieces(part)
+        return found
+
+    def cut(self, pieces: list[bytes], ids: np.ndarray, cuts: np.ndarray) -> dict[bytes, bytes]:
+        data, at = ids.tobytes(), (cuts * self.kind.itemsize).tolist()
+        return {p: data[a:b] for p, a, b in zip(pieces, at[:-1], at[1:])}
+
+    def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        plain, other, known = [], [], self.known
+        for p in pieces:
+            m = PLAIN.fullmatch(p)
+            if m is None:
+                other.append(p)
+            else:
+                core, tail = m.groups()
+                plain.append((p, core.lower() if core.isascii() else core.decode("utf8").lower().encode(), tail))
+        new = {c for _, c, _ in plain if c not in known}
+        tails = {t for _, _, t in plain if t and t not in known}
+        fresh = self.of_cores(list(new)) | self.of_pieces(list(tails))
+        if len(known) + len(fresh) <= self.most:
+            known.update(fresh)
+        fetch = lambda x: known.get(x) or fresh[x]
+        found = self.of_pieces(other)
+        for p, core, tail in plain:
+            found[p] = fetch(core) + fetch(tail) if tail else fetch(core)
+        if len(known) + len(found) <= self.most // 2:
+            known.update(found)
+        return found
+
+    def encode_many(self, texts: list[bytes], end: bytes) -> list[bytes]:
+        """The ids of each text and the end id; new pieces of about ``at_once`` bytes of text are learned together."""
+        out: list[bytes] = []
+        get, i = self.known.get, 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size + len(texts[j]) <= self.at_once):
+                size += len(texts[j])
+                j += 1
+            split = [t.split() for t in texts[i:j]]
+            ids = [list(map(get, pieces)) for pieces in split]
+            missing = {p for pieces, got in zip(split, ids) if None in got for p, x in zip(pieces, got) if x is None}
+            found = self.learn(missing) if missing else {}
+            for pieces, got in zip(split, ids):
+                if None in got:
+                    got = [found[p] if x is None else x for p, x in zip(pieces, got)]
+                out.append(b"".join(got) + end)
+            i = j
+        return out
 
     def encode(self, data: bytes, end: bytes) -> bytes:
-        pieces = data.split()
-        known = self.known
-        new = [p for p in set(pieces) if p not in known]
-        if new:
-            self.learn(new)
-            known = self.known
-            if any(p not in known for p in set(pieces)):  # the memory was cleared for this document's own pieces
-                self.learn(list(set(pieces)))
-        out = b"".join([known[p] for p in pieces]) + end
-        for p in new:
-            if len(p) > self.longest:
-                known.pop(p, None)
-        return out
+        return self.encode_many([data], end)[0]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -91,7 +144,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = encoder(tokenizer)
         stop = np.array([end], enc.kind).tobytes()
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([enc.encode(x or b"", stop) for x in utf8(batch.column(2))], pa.binary())], names=["doc_id", "h", "ids"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(enc.encode_many([x or b"" for x in utf8(batch.column(2))], stop), pa.binary())], names=["doc_id", "h", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(F.col("text")).alias("h"), "text")
     return by_batch(rows, one, "doc_id long, h long, ids binary")
