@@ -51,7 +51,7 @@ class PieceEncoder:
     each time it is met.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000, at_once: int = 1 << 20) -> None:
+    def __init__(self, path: str, most: int = 800_000, at_once: int = 1 << 20) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -60,6 +60,7 @@ class PieceEncoder:
         self.kind = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(n)])
         self.known: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {b"": b""}
 
     def of_pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Any pieces, encoded together; word numbers tell whose ids they are."""
@@ -84,23 +85,27 @@ class PieceEncoder:
         return {p: data[a:b] for p, a, b in zip(pieces, at[:-1], at[1:])}
 
     def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        plain, other, known = [], [], self.known
+        other, waiting, known, tails, found = [], [], self.known, self.tails, {}
+        match = PLAIN.fullmatch
         for p in pieces:
-            m = PLAIN.fullmatch(p)
+            m = match(p)
             if m is None:
                 other.append(p)
+                continue
+            core, tail = m.groups()
+            core = core.lower() if core.isascii() else core.decode("utf8").lower().encode()
+            if tail not in tails:
+                tails |= self.of_pieces([tail])
+            if core in known:
+                found[p] = known[core] + tails[tail]
             else:
-                core, tail = m.groups()
-                plain.append((p, core.lower() if core.isascii() else core.decode("utf8").lower().encode(), tail))
-        new = {c for _, c, _ in plain if c not in known}
-        tails = {t for _, _, t in plain if t and t not in known}
-        fresh = self.of_cores(list(new)) | self.of_pieces(list(tails))
+                waiting.append((p, core, tail))
+        fresh = self.of_cores(list({core for _, core, _ in waiting}))
+        for p, core, tail in waiting:
+            found[p] = fresh[core] + tails[tail]
+        found |= self.of_pieces(other)
         if len(known) + len(fresh) <= self.most:
             known.update(fresh)
-        fetch = lambda x: known.get(x) or fresh[x]
-        found = self.of_pieces(other)
-        for p, core, tail in plain:
-            found[p] = fetch(core) + fetch(tail) if tail else fetch(core)
         if len(known) + len(found) <= self.most // 2:
             known.update(found)
         return found
@@ -108,20 +113,25 @@ class PieceEncoder:
     def encode_many(self, texts: list[bytes], end: bytes) -> list[bytes]:
         """The ids of each text and the end id; new pieces of about ``at_once`` bytes of text are learned together."""
         out: list[bytes] = []
-        get, i = self.known.get, 0
+        known, i = self.known.get, 0
         while i < len(texts):
             j, size = i, 0
             while j < len(texts) and (j == i or size + len(texts[j]) <= self.at_once):
                 size += len(texts[j])
                 j += 1
-            split = [t.split() for t in texts[i:j]]
-            ids = [list(map(get, pieces)) for pieces in split]
-            missing = {p for pieces, got in zip(split, ids) if None in got for p, x in zip(pieces, got) if x is None}
-            found = self.learn(missing) if missing else {}
-            for pieces, got in zip(split, ids):
-                if None in got:
-                    got = [found[p] if x is None else x for p, x in zip(pieces, got)]
-                out.append(b"".join(got) + end)
+            missing: set[bytes] = set()
+            group = []
+            for text in texts[i:j]:
+                pieces = text.split()
+                ids = list(map(known, pieces))
+                gaps = [k for k, x in enumerate(ids) if x is None]
+                missing.update([pieces[k] for k in gaps])
+                group.append((ids, [(k, pieces[k]) for k in gaps]))
+            late = self.learn(missing) if missing else {}
+            for ids, gaps in group:
+                for k, piece in gaps:
+                    ids[k] = late[piece]
+                out.append(b"".join(ids) + end)
             i = j
         return out
 
