@@ -43,13 +43,17 @@ def remove(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(jpath, True)
 
 
+#: Rows that an operator turns into Python objects at once; Arrow batches are much larger.
+SLICE = 512
+
+
 def by_batch(df: DataFrame, one: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch; the executor holds a batch at a time."""
+    """mapInArrow with a function of a slice of a batch; a task holds one batch and the objects of one slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield one(batch)
+            for i in range(0, batch.num_rows, SLICE):
+                yield one(batch.slice(i, SLICE))
 
     return df.mapInArrow(run, schema)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetta.llm.common import by_batch, row_hash, utf8
+from facetta.llm.common import SLICE, by_batch, row_hash, utf8
 
 PAIRS = 1008
 RATIO_STEPS = np.array([0.02, 0.1, 0.25, 0.5, 0.75, 0.9, 1.01])
@@ -162,9 +162,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(
     def run(batches):
         m = shared.value
         for batch in batches:
-            texts = utf8(batch.column(at))
-            parts = [m.score(np.stack([raw_counts(x or b"") for x in texts[i : i + m.settings.block]])) for i in range(0, len(texts), m.settings.block)]
-            if parts:
-                yield batch.filter(pa.array(np.concatenate(parts) >= m.settings.threshold))
+            for i in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(i, SLICE)
+                score = m.score(np.stack([raw_counts(x or b"") for x in utf8(piece.column(at))]))
+                yield piece.filter(pa.array(score >= m.settings.threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -51,7 +51,7 @@ class PieceEncoder:
     each time it is met.
     """
 
-    def __init__(self, path: str, most: int = 800_000, at_once: int = 1 << 20) -> None:
+    def __init__(self, path: str, most: int = 600_000, at_once: int = 1 << 20) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -263,16 +263,15 @@ def unpack(payloads: list[bytes], checkpoints: list[np.ndarray], sizes: list[int
 def global_counts(tokens: DataFrame, kind: str, n_symbols: int) -> np.ndarray:
     """How often each id occurs; one row for each id reaches the driver, bounded by the vocabulary."""
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches):
         total = np.zeros(n_symbols, np.int64)
-        for x in batch.column(0):
-            total += np.bincount(np.frombuffer(x.as_py(), kind), minlength=n_symbols) if len(x.as_py()) > 1 << 16 else 0
-        small = [x.as_py() for x in batch.column(0) if len(x.as_py()) <= 1 << 16]
-        total += np.bincount(np.frombuffer(b"".join(small), kind), minlength=n_symbols)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                total += np.bincount(np.frombuffer(b"".join(batch.column(0).slice(i, 512).to_pylist()), kind), minlength=n_symbols)
         at = np.flatnonzero(total)
-        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["id", "n"])
 
-    rows = by_batch(tokens.select("ids"), one, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(n_symbols, np.int64)
     counts[rows["id"].to_numpy()] = rows["n"].to_numpy()
     return counts
