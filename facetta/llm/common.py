@@ -47,13 +47,13 @@ def remove(spark: SparkSession, path: str) -> None:
 SLICE = 512
 
 
-def by_batch(df: DataFrame, one: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def by_batch(df: DataFrame, one: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = SLICE) -> DataFrame:
     """mapInArrow with a function of a slice of a batch; a task holds one batch and the objects of one slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                yield one(batch.slice(i, SLICE))
+            for i in range(0, batch.num_rows, rows):
+                yield one(batch.slice(i, rows))
 
     return df.mapInArrow(run, schema)
 

@@ -51,7 +51,7 @@ class PieceEncoder:
     each time it is met.
     """
 
-    def __init__(self, path: str, most: int = 600_000, at_once: int = 1 << 20) -> None:
+    def __init__(self, path: str, most: int = 1_000_000, at_once: int = 1 << 21) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -157,7 +157,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(enc.encode_many([x or b"" for x in utf8(batch.column(2))], stop), pa.binary())], names=["doc_id", "h", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(F.col("text")).alias("h"), "text")
-    return by_batch(rows, one, "doc_id long, h long, ids binary")
+    return by_batch(rows, one, "doc_id long, h long, ids binary", 1024)
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
