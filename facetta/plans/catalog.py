@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetta.plans import retrieval, templates, texts
+from facetta.plans import images, retrieval, templates, texts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {}
     for name in templates.PLANS:
         found[name] = lambda spark, sf_dir, name=name: templates.run(spark, sf_dir, name)
-    return found | retrieval.QUERIES | texts.QUERIES
+    return found | retrieval.QUERIES | texts.QUERIES | images.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
