@@ -7,6 +7,7 @@ wins, then the one that sorts first.
 
 from __future__ import annotations
 
+import random
 import zlib
 from dataclasses import dataclass
 
@@ -20,35 +21,40 @@ from facetta.llm.common import by_batch, lower_ascii
 #: (verdict, host, path) of the rules that come before the model.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-# The labelled table is made of these words: what a host or path of its kind is named after.
-UNWANTED = (
-    "cheap-pills pills-online buy-viagra pharma-deals casino-win lucky-casino slots-777 poker-cash free-bets bet-bonus sport-bets "
-    "adult-x adult-cams xxx-tube hot-sex porn-hub escort-girls spam-farm link-farm seo-spam ads-track ad-click track-pixel popup-ads "
-    "free-money fast-loans payday-loan crypto-double win-prize free-gift replica-watch weight-loss-trick warez-crack torrent-keygen"
-).split()
+# The labelled table is made by rule from these general words: unwanted subjects, subjects of ordinary sites, words that
+# go with either, and common letter groups of which invented names are made.
+UNWANTED = "casino poker slots jackpot betting bets lottery pills viagra pharmacy replica loans payday adult porn xxx sex cams escort spam seo ads popup clickbait warez crack torrent keygen crypto prize".split()
 WANTED = (
-    "library museum city-news daily-times science-blog garden-notes university cooking-school weather history-today travel-diary "
-    "open-maps physics-lab health-info book-review photo-archive music-school farm-life letters civic-forum river-watch bird-guide "
-    "math-notes linux-docs language-club north-star tionsh therha ththan ererth ondthe stinger anthon hethat lingua wandern maison hill-walks mill-history "
-    "hotels hospital recipes railway theatre painting geology chess-club forest pottery harbour village college archive bakery orchard "
-    "sailing printing weaving botany museum-shop astronomy poetry records station bridges castles meadow winter-sports skills"
+    "library museum news times science garden university cooking weather history travel maps physics health books photo music farm "
+    "letters forum river birds math linux language stars hills mill hospital recipes railway theatre painting geology chess forest "
+    "pottery harbour village college archive bakery orchard sailing printing weaving botany astronomy poetry records bridges castles skills"
 ).split()
-HOSTS = ("www.{}.com", "blog.{}.example.org", "{}.example.com", "m.{}.org", "{}.net")
+EITHER = "free best win hot online fast easy cheap track farm link deals store top club world daily my the x".split()
+LETTERS = "th he in er an re on at en nd ti es or te ed is it al ar st to nt ng ha as ou io le ve co me de hi ri ro ic ne ea ra ce tion ing ent ion her for ter ly sh wh".split()
+HOSTS = ("www.{}.com", "blog.{}.example.org", "{}.example.com", "m.{}.org", "{}.net", "m.{}.example.net")
 PATHS = ("/", "/en/381", "/fr/5520.html", "/de/77/", "/es/1204?page=2")
+#: Names that each subject gives, and names made of letter groups.
+NAMES, INVENTED = 8, 300
+
+
+def labelled_urls(seed: int = 3) -> list[tuple[str, str, int]]:
+    """(host, path, 1 to block), about 1,300 rows; a function of the seed."""
+    r, rows = random.Random(seed), []
 
+    def put(name: str, label: int) -> None:
+        path = r.choice(PATHS).partition("?")[0]
+        rows.append((r.choice(HOSTS).format(name), path, label))
+        if r.random() < 0.25:
+            rows.append(("www.example.org", f"/{name}{path}", label))
 
-def labelled_urls() -> list[tuple[str, str, int]]:
-    """(host, path, 1 to block), a few hundred rows."""
-    rows = []
     for label, words in ((1, UNWANTED), (0, WANTED)):
-        for i, word in enumerate(words):
-            for j in range(4):
-                host, path = HOSTS[(i + j) % len(HOSTS)], PATHS[(i * 3 + j) % len(PATHS)]
-                rows.append((host.format(word), path.partition("?")[0], label))
-                if j == 0 and label:
-                    rows.append(("www.example.org", f"/{word}{path.partition('?')[0]}", 1))
-                if j == 0 and not label:
-                    rows.append(("www.example.org", f"/{word}{path.partition('?')[0]}", 0))
+        for word in words:
+            put(word, label)
+            for _ in range(NAMES):
+                other = r.choice(EITHER)
+                put("-".join((word, other) if r.random() < 0.5 else (other, word)), label)
+    for _ in range(INVENTED):
+        put("".join(r.choice(LETTERS) for _ in range(r.choice((2, 2, 3, 4)))), 0)
     return rows
 
 
@@ -78,17 +84,18 @@ def norm(host: str, path: str, orders: tuple[int, ...]) -> float:
     return max(1.0, (len(host) + len(path)) * len(orders)) ** 0.5
 
 
-def fit_url_model(bits: int = 15, orders: tuple[int, ...] = (3, 4, 5), rounds: int = 300, rate: float = 0.5, l2: float = 1e-4) -> UrlModel:
+def fit_url_model(bits: int = 15, orders: tuple[int, ...] = (2, 3, 4, 5), rounds: int = 1000, rate: float = 0.5, l2: float = 1e-5) -> UrlModel:
     """Full-batch gradient descent; the table is fixed, so reruns give the same weights."""
     rows = labelled_urls()
     y = np.array([r[2] for r in rows], float)
+    even = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))  # both labels weigh the same
     found = [slots(h, p, bits, orders) for h, p, _ in rows]
     scale = np.array([1 / norm(h, p, orders) for h, p, _ in rows])
     at, flat = np.repeat(np.arange(len(rows)), [len(x) for x in found]), np.concatenate(found)
     w, b = np.zeros(1 << bits), 0.0
     for _ in range(rounds):
         z = b + np.bincount(at, w[flat], len(rows)) * scale
-        g = (1 / (1 + np.exp(-z)) - y) / len(rows)
+        g = (1 / (1 + np.exp(-z)) - y) * even
         w -= rate * 40 * (np.bincount(flat, (g * scale)[at], 1 << bits) + l2 * w / 40)
         b -= rate * g.sum()
     return UrlModel(w.astype(np.float32), b, bits, orders)

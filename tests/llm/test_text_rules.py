@@ -77,10 +77,15 @@ def test_urls_match_plain(spark, sf):
 
 def test_url_model_separates_unseen_hosts():
     model = url_filter.fit_url_model()
-    bad = ["cheap-pills.example.org", "best-casino.com", "free-bets.example.com", "adult-xx.net", "m.spam-farm.example.org", "casino-win.example.com"]
+    seen = {(h, p) for h, p, _ in url_filter.labelled_urls()}
+    rows = sorted({r for seed in range(50, 54) for r in url_filter.labelled_urls(seed) if r[:2] not in seen})
+    scores = model.scores([r[0] for r in rows], [r[1] for r in rows])
+    label = np.array([r[2] for r in rows])
+    assert len(rows) > 1000 and (scores[label == 1] > 0).mean() > 0.9 and (scores[label == 0] < 0).mean() > 0.97
+    bad = ["cheap-pills.example.org", "best-casino.com", "free-bets.example.com", "adult-xx.net", "m.spam-farm.example.org", "casino-win.example.com", "porn-cams.net"]
     good = ["ththan.example.org", "blog.thered.example.com", "www.mountain-library.org", "m.thther.example.org", "hills.example.com"]
     assert (model.scores(bad, ["/en/5"] * len(bad)) > 0).all()
-    assert (model.scores(good, ["/en/5"] * len(good)) < 0).all()
+    assert (model.scores([*good, ""], ["/en/5"] * len(good) + [""]) < 0).all()
 
 
 def test_classifier_on_held_out(spark):
