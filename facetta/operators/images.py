@@ -466,6 +466,35 @@ def text_boxes(images: DataFrame, name: str, key: str = "sample_id", image: str
     return _over(images, key, one, f"{key} long, height int, width int, text_mask binary, boxes array<array<int>>, texts array<string>", image)
 
 
+def mask_regions(masks_: DataFrame, key: str = "sample_id", image: str = "image") -> DataFrame:
+    """key and boxes of the connected regions of mask images, from left to right."""
+
+    def one(img):
+        if img is None:
+            return [(None,)]
+        on = (img if img.ndim == 2 else img.max(axis=2)) > 0
+        return [(sorted([int(r[k]) for k in ("x0", "y0", "x1", "y1")] for r in K.regions(on.astype(np.uint8))),)]
+
+    return _over(masks_, key, one, f"{key} long, boxes array<array<int>>", image)
+
+
+def without_text(images: DataFrame, name: str, ocr: Callable[[np.ndarray], str] | None = None, key: str = "sample_id", image: str = "image") -> DataFrame:
+    """key, image with the detected text in black, and texts (null without ``ocr``)."""
+    f = TEXTS[name]
+
+    def one(img):
+        if img is None:
+            return [(None,) * 5]
+        mask, boxes = f(img)
+        texts = None if ocr is None else [ocr(img[b : d + 1, a : c + 1]) for a, b, c, d in boxes]
+        off = (mask == 0) if img.ndim == 2 else (mask == 0)[..., None]
+        return [(*_bytes((img * off).astype(np.uint8)), texts)]
+
+    flat = _over(images, key, one, f"{key} long, height int, width int, channels int, data binary, texts array<string>", image)
+    made = F.struct(F.lit("").alias("origin"), "height", "width", F.col("channels").alias("nChannels"), F.when(F.col("channels") == 1, 0).otherwise(16).alias("mode"), "data").cast(IMAGE)
+    return flat.select(key, F.when(F.col("data").isNotNull(), made).alias("image"), "texts")
+
+
 def features(images: DataFrame, name: str, key: str = "sample_id", image: str = "image") -> DataFrame:
     """key and vector."""
     f = FEATURES[name]

@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 QUERY_BLOCK = 8192
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, kind: str = "") -> np.ndarray:
     if not len(column):
         return np.zeros((0, 1))
+    if kind == "hamming":  # words of 64 bits become bits
+        flat = np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False), np.int64)
+        return np.unpackbits(flat.view(np.uint8).reshape(len(column), -1), axis=1).astype(np.float32)
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
@@ -35,6 +38,8 @@ def _distances(q: np.ndarray, g: np.ndarray, kind: str) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
             return 1 - (q @ g.T) / norms
     square = (q * q).sum(axis=1)[:, None] + (g * g).sum(axis=1)[None, :] - 2 * (q @ g.T)
+    if kind == "hamming":
+        return square
     near = square < 1e-6  # cancellation: recompute what is close
     for i, j in zip(*np.nonzero(near)):
         square[i, j] = ((q[i] - g[j]) ** 2).sum()
@@ -56,7 +61,7 @@ def _scored(queries: DataFrame, gallery: DataFrame, kind: str, keep, query_id: s
     kinds = "query_id long, db_id long, dist double" + (f", {extra} {dict(gallery.dtypes)[extra]}" if extra else "")
     for block in _blocks(queries, query_id, vector):
         table = block.toArrow()
-        shared = spark.sparkContext.broadcast((table[query_id].to_numpy(), _matrix(table[vector].combine_chunks())))
+        shared = spark.sparkContext.broadcast((table[query_id].to_numpy(), _matrix(table[vector].combine_chunks(), kind)))
 
         def run(batches, shared=shared):
             ids, q = shared.value
@@ -66,7 +71,7 @@ def _scored(queries: DataFrame, gallery: DataFrame, kind: str, keep, query_id: s
                 for i in range(0, batch.num_rows, 4096):
                     piece = batch.slice(i, 4096)
                     db = piece.column(0).to_numpy(zero_copy_only=False)
-                    d = np.round(_distances(q, _matrix(piece.column(1)), kind), 9)
+                    d = np.round(_distances(q, _matrix(piece.column(1), kind), kind).astype(np.float64), 9)
                     a, b = keep(d, ids, db, piece)
                     columns = [pa.array(ids[a]), pa.array(db[b]), pa.array(d[a, b])]
                     if extra:
@@ -105,14 +110,15 @@ def full_ranking(queries: DataFrame, gallery: DataFrame, kind: str = "cosine", s
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "db_id")) - 1)
 
 
-def ratio_matches(queries: DataFrame, gallery: DataFrame, image: str, ratio: float, kind: str = "euclidean", vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+def ratio_matches(queries: DataFrame, gallery: DataFrame, image: str, ratio: float, kind: str = "euclidean", vector: str = "embedding", key: str = "vec_id", skip_self: bool = True) -> DataFrame:
     """q_image, db_image and score: the share of a query image's descriptors whose best match beats the second by the ratio.
 
     A pair with a single descriptor on the gallery's side scores 0.
     """
 
     def keep(d, ids, db, piece):
-        d[ids[:, None] == db[None, :]] = np.inf
+        if skip_self:
+            d[ids[:, None] == db[None, :]] = np.inf
         images = piece.column(2).to_numpy(zero_copy_only=False)
         rows, columns = [], []
         for name in np.unique(images):
@@ -131,6 +137,13 @@ def ratio_matches(queries: DataFrame, gallery: DataFrame, image: str, ratio: flo
     return two.withColumn("good", good).join(of, "query_id").groupBy("q_image", "db_image").agg(F.avg("good").alias("score"))
 
 
+def all_pairs(queries: DataFrame, gallery: DataFrame) -> DataFrame:
+    """query_id and db_id of a stated query set (column query_id) against every gallery row (db_id), block by block."""
+    same = F.array(F.lit(0.0))
+    found = full_ranking(queries.select("query_id").withColumn("v", same), gallery.select("db_id").withColumn("v", same), "l1", False, query_id="query_id", db_id="db_id", vector="v")
+    return found.select("query_id", "db_id")
+
+
 def score_ranks(scores: DataFrame, by: str = "q_image", item: str = "db_image", score: str = "score") -> DataFrame:
     """rank from 0 by falling score; ties go to the smaller item."""
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.round(score, 9).desc(), item)) - 1)

@@ -16,17 +16,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from facetta.functions import kernels as K
 from facetta.operators import images as I
 from facetta.operators import retrieval as R
+from facetta.operators import tokenizers as T
 from facetta.sources import images as S
 
 #: More than the crops that an image can have: a crop's key is its sample_id times this and its position.
 CROPS = 1 << 24
+#: More than the keypoints that a crop can have (its longer side is scaled to 424 pixels): query keys leave room for 2^21 images.
+KEYPOINTS = 1 << 18
+FRAMES = "array<struct<angle:double,corners:array<array<double>>>>"
 #: Plug-ins by kind and name.
-REGISTRY: dict[str, dict[str, Callable]] = {"task": {}, "metric": {}, "preprocessing": {**I.ENHANCE, **I.MASKS, **I.TEXTS}, "features_extractor": {**I.FEATURES, **I.KEYPOINTS}, "distance": dict.fromkeys(("cosine", "l1", "euclidean"), R.knn)}
+REGISTRY: dict[str, dict[str, Callable]] = {"task": {}, "metric": {}, "ocr": {}, "tokenizer": {n: T for n in ("bpe_tokenizer", "word_tokenizer")}, "preprocessing": {**I.ENHANCE, **I.MASKS, **I.TEXTS}, "features_extractor": {**I.FEATURES, **I.KEYPOINTS}, "distance": dict.fromkeys(("cosine", "l1", "euclidean"), R.knn)}
 
 
 def register(kind: str, name: str):
@@ -55,6 +61,12 @@ class Task:
     metrics: list[dict] = field(default_factory=list)
     distance: str = "cosine"
     inference_only: bool = False
+    #: Parameters of the extractors by name: feats_w, distance, in_db_thr, norm, quality_thr, matches_thr.
+    options: dict[str, dict] = field(default_factory=dict)
+    tokenizer: dict | None = None
+    #: Name of the registered function of a cropped image that reads its text.
+    ocr: str | None = None
+    use_gt: bool = False
 
 
 def _names(items) -> list[str]:
@@ -77,8 +89,9 @@ def load(text: str) -> list[Task]:
         task = Task(
             entry["name"], _names(entry.get("datasets")), _names(entry.get("preprocessing")), _names(entry.get("features_extractors")),
             [m for x in entry.get("metrics") or [] for m in expand(x if isinstance(x, dict) else {"name": x})], distance["name"] if isinstance(distance, dict) else distance, bool(entry.get("inference_only")),
+            {x["name"]: x for x in entry.get("features_extractors") or [] if isinstance(x, dict)}, entry.get("tokenizer"), entry.get("ocr"), bool(entry.get("use_gt")),
         )
-        for kind, names in (("task", [task.name]), ("preprocessing", task.preprocessing), ("features_extractor", task.features_extractors), ("metric", _names(task.metrics)), ("distance", [task.distance])):
+        for kind, names in (("task", [task.name]), ("preprocessing", task.preprocessing), ("features_extractor", task.features_extractors), ("metric", _names(task.metrics)), ("distance", [task.distance, *(o["distance"]["name"] for o in task.options.values() if o.get("distance"))]), ("tokenizer", [task.tokenizer["name"]] if task.tokenizer else []), ("ocr", [task.ocr] if task.ocr else [])):
             for name in names:
                 resolve(kind, name)
         out.append(task)
@@ -235,41 +248,206 @@ def _vectors(images: DataFrame, names: list[str]) -> DataFrame:
     return out.select("vec_id", F.concat(*[f"v{i}" for i in range(len(names))]).alias("embedding"))
 
 
+def query_crops(task: Task, data: dict[str, DataFrame]) -> DataFrame:
+    """sample_id (a crop's key), image and texts: the chain's output, cut by true regions or the last mask, its text erased."""
+    images = chain(data["images"].select("sample_id", "image"), task.preprocessing)
+    kinds, detector = [n for n in task.preprocessing if n in I.MASKS], next((n for n in task.preprocessing if n in I.TEXTS), None)
+    places = I.mask_regions(data["masks"]) if task.use_gt and "masks" in data else I.masks(images, kinds[-1]) if kinds else None
+    cut = images.withColumn("crop_pos", F.lit(0)) if places is None else I.crops(images, places.select("sample_id", "boxes"))
+    cut = cut.select((F.col("sample_id") * CROPS + F.col("crop_pos")).alias("sample_id"), "image")
+    ocr = REGISTRY["ocr"][task.ocr] if task.ocr else None
+    return I.without_text(cut, detector, ocr) if detector else cut.withColumn("texts", F.lit(None).cast("array<string>"))
+
+
+def frames(task: Task, data: dict[str, DataFrame]) -> DataFrame | None:
+    """sample_id and frames (angle, corners) of the last mask; samples without a frame have an empty list."""
+    kinds = [n for n in task.preprocessing if n in I.MASKS]
+    if not kinds:
+        return None
+    found = I.masks(chain(data["images"].select("sample_id", "image"), task.preprocessing), kinds[-1])
+    return found.select("sample_id", F.coalesce(F.arrays_zip("angles", "corners").cast(FRAMES), F.array().cast(FRAMES)).alias("frames"))
+
+
+def _tokens(rows: DataFrame, key: str, model) -> DataFrame:
+    """key, token and k, its count in the row's text."""
+    split = T.words(F.col("text")) if model is None else T.encode(F.col("text"), model)
+    return rows.select(key, F.explode(split).alias("token")).groupBy(key, "token").agg(F.count("*").alias("k"))
+
+
+def text_ranking(task: Task, crops: DataFrame, data: dict[str, DataFrame]) -> DataFrame:
+    """query_id, db_id, dist and rank (from 0) of every database item by the tokens of its annotation."""
+    if not any(n in I.TEXTS for n in task.preprocessing) or not task.ocr:
+        raise ValueError("a tokenizer needs a text detector and an ocr plug-in")
+    lines = data["annotations"].groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "fields"))).alias("x"))
+    noted = lines.select(F.col("sample_id").alias("db_id"), F.array_join(F.flatten(F.col("x.fields")), " ").alias("text"))
+    asked = crops.select(F.col("sample_id").alias("query_id"), F.array_join(F.coalesce("texts", F.array().cast("array<string>")), " ").alias("text"))
+    options = task.tokenizer
+    model = T.fit(noted, "text", T.Subwords(size=int(options.get("vocab_size", 256)))) if options["name"] == "bpe_tokenizer" else None
+    q, d = _tokens(asked, "query_id", model), _tokens(noted, "db_id", model)
+    common = q.join(d.withColumnRenamed("k", "kd"), "token").groupBy("query_id", "db_id").agg(F.sum(F.least("k", "kd")).alias("common"))
+    pairs = R.all_pairs(asked, data["database"].select(F.col("sample_id").alias("db_id")))
+    sized = pairs.join(q.groupBy("query_id").agg(F.sum("k").alias("nq")), "query_id", "left").join(d.groupBy("db_id").agg(F.sum("k").alias("nd")), "db_id", "left").join(common, ["query_id", "db_id"], "left")
+    c, n, m = (F.coalesce(F.col(x), F.lit(0)) for x in ("common", "nq", "nd"))
+    bag = (options.get("distance") or {}).get("name", "bag_dist") == "bag_dist"
+    dist = F.greatest(n - c, m - c).cast("double") if bag else F.coalesce(1 - F.try_divide(c.cast("double"), n + m - c), F.lit(0.0))
+    scored = sized.select("query_id", "db_id", F.round(dist, 9).alias("dist"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "db_id")) - 1)
+
+
+def source_ranking(task: Task, name: str, crops: DataFrame, database: DataFrame) -> tuple[DataFrame, Column]:
+    """The ranking (query_id, db_id, rank) of an extractor and the column that tells whether a row votes for acceptance.
+
+    Keypoint images are scored by the share of descriptors that pass the ratio test; pairs without a match score 0.
+    Without a threshold a source always votes.
+    """
+    options = task.options.get(name, {})
+    if name in I.FEATURES:
+        distance = options.get("distance") or {}
+        limit = distance.get("in_db_thr")
+        found = R.full_ranking(_vectors(crops, [name]), _vectors(database, [name]), distance.get("name", task.distance), skip_self=False)
+        return found, F.lit(True) if limit is None else F.col("dist") <= float(limit)
+    each = lambda rows: I.keypoints(rows, name).select((F.col("sample_id") * KEYPOINTS + F.col("kp")).alias("vec_id"), F.col("sample_id").alias("image_id"), F.col("descriptor").alias("embedding"))
+    kind = "hamming" if options.get("norm", "hamming" if name.startswith("orb") else "l2") == "hamming" else "euclidean"
+    scores = R.ratio_matches(each(crops), each(database), "image_id", float(options.get("quality_thr", 0.75)), kind, skip_self=False)
+    pairs = R.all_pairs(crops.select(F.col("sample_id").alias("query_id")), database.select(F.col("sample_id").alias("db_id")))
+    full = pairs.join(scores.withColumnsRenamed({"q_image": "query_id", "db_image": "db_id"}), ["query_id", "db_id"], "left")
+    full = full.withColumn("score", F.coalesce("score", F.lit(0.0)))
+    limit = options.get("matches_thr")
+    return R.score_ranks(full, "query_id", "db_id"), F.lit(True) if limit is None else F.col("score") >= float(limit)
+
+
 def _scored_ranks(task: Task, found: DataFrame, data: dict[str, DataFrame]):
-    result = found.select("query_id", F.lit(0).alias("crop_id"), F.col("rnk").cast("int").alias("rnk"), "db_id")
+    """Predictions of crops; a metric's value of a sample is the mean over its true items that have a crop.
+
+    A rejected crop has a null db_id, which is right where the truth is null too.
+    """
+    split = [F.expr(f"query_id div {CROPS}").alias("query_id"), F.pmod("query_id", F.lit(CROPS)).cast("int").alias("crop_id")]
+    result = found.select(*split, F.col("rnk").cast("int").alias("rnk"), "db_id")
     if task.inference_only or "correspondences" not in data:
         return result, None
-    gt = data["correspondences"].select("query_id", F.col("db_id").alias("gt_id"))
-    first = gt.join(result, "query_id", "left").groupBy("query_id").agg(F.min(F.when(F.col("db_id") == F.col("gt_id"), F.col("rnk"))).alias("first"))
-    return result, scored(first.withColumnRenamed("query_id", "sample_id"), task.metrics, "first")
+    gt = data["correspondences"].select("query_id", F.col("crop_pos").alias("crop_id"), F.col("db_id").alias("gt_id"))
+    hit = F.when(F.col("db_id").eqNullSafe(F.col("gt_id")), F.col("rnk"))
+    first = gt.join(result, ["query_id", "crop_id"]).groupBy("query_id", "crop_id").agg(F.min(hit).alias("first"))
+    each = scored(first.withColumnRenamed("query_id", "sample_id"), task.metrics, "first")
+    return result, each.groupBy("sample_id", "metric").agg(F.avg("value").alias("value"))
 
 
 @register("task", "retrieval_comb")
 def retrieval_comb(task: Task, data: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame | None]:
     """Neighbours by the joined vectors of all extractors."""
-    sides = [_vectors(chain(data[t].select("sample_id", "image"), task.preprocessing), task.features_extractors) for t in ("images", "database")]
+    crops = query_crops(task, data).persist()
+    sides = [_vectors(x, task.features_extractors) for x in (crops, data["database"])]
     return _scored_ranks(task, R.knn(*sides, 10, task.distance, skip_self=False), data)
 
 
 @register("task", "retrieval")
 def retrieval(task: Task, data: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame | None]:
-    """Neighbours by the first extractor; with another one, only those that it finds too, in the order of the first."""
-    found = []
-    for name in task.features_extractors[:2]:
-        sides = [_vectors(chain(data[t].select("sample_id", "image"), task.preprocessing), [name]) for t in ("images", "database")]
-        found.append(R.knn(*sides, 10, task.distance, skip_self=False))
+    """Neighbours by the first extractor; only those that the text (or, without a tokenizer, the next extractor) finds too, in the order of the first."""
+    crops, found = query_crops(task, data).persist(), []
+    for name in task.features_extractors[: 1 if task.tokenizer else 2]:
+        near = int((task.options.get(name, {}).get("distance") or {}).get("n_neighbors", 10))
+        found.append(R.knn(*[_vectors(x, [name]) for x in (crops, data["database"])], near, task.distance, skip_self=False))
+    if task.tokenizer:
+        near = int((task.tokenizer.get("distance") or {}).get("n_neighbors", 10))
+        found.append(text_ranking(task, crops, data).where(F.col("rank") < near))
     both = R.intersect_candidates(*found) if len(found) > 1 else found[0]
-    return _scored_ranks(task, both, data)
+    return _scored_ranks(task, both.where("rnk <= 10"), data)
 
 
 @register("task", "retrieval_distcomb")
 def retrieval_distcomb(task: Task, data: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame | None]:
-    """Rankings of every extractor, fused by their ranks."""
-    ranks = []
+    """Rankings of every source, fused by their weighted ranks; crops that too few extractors accept are rejected. Text has no vote."""
+    crops = query_crops(task, data).persist()
+    ranks, said = [], []
+    if task.tokenizer:
+        ranks.append((text_ranking(task, crops, data), float(task.tokenizer.get("feats_w") or 1.0)))
     for name in task.features_extractors:
-        sides = [_vectors(chain(data[t].select("sample_id", "image"), task.preprocessing), [name]) for t in ("images", "database")]
-        ranks.append((R.full_ranking(*sides, task.distance, skip_self=False), 1.0))
-    return _scored_ranks(task, R.borda(ranks).where("rnk <= 10"), data)
+        found, vote = source_ranking(task, name, crops, data["database"])
+        ranks.append((found, float(task.options.get(name, {}).get("feats_w") or 1.0)))
+        said.append((found, vote))
+    fused = R.borda(ranks).where("rnk <= 10")
+    return _scored_ranks(task, R.reject(fused, R.votes(said)) if said else fused, data)
+
+
+def principal_axes(rows: DataFrame, k: int = 2, more: int = 6, rounds: int = 12, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, axes) of the column ``embedding``: subspace iteration, each round one pass over the vectors.
+
+    No matrix of width x width forms: a partition gives its width x (k + more) sums, which are added by
+    position before the driver sees them. The largest loading of each axis is positive.
+    """
+    n, width = rows.count(), len(rows.first().embedding)
+
+    def added(f, columns: int) -> np.ndarray:
+        def run(batches):
+            total = np.zeros((width, columns))
+            for batch in batches:
+                flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+                total += f(np.asarray(flat, float).reshape(batch.num_rows, width))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), *(pa.array(c) for c in total.T)], names=names)
+
+        names = ["at", *(f"c{i}" for i in range(columns))]
+        parts = rows.select("embedding").mapInArrow(run, "at long, " + ", ".join(f"c{i} double" for i in range(columns)))
+        found = parts.groupBy("at").agg(*[F.sum(c).alias(c) for c in names[1:]]).toPandas().sort_values("at")
+        return found[names[1:]].to_numpy()
+
+    mean = added(lambda x: x.sum(axis=0)[:, None], 1)[:, 0] / n
+    size = min(k + more, width)
+    axes = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, size)))[0]
+    for _ in range(rounds):
+        image = added(lambda x, axes=axes: (x - mean).T @ ((x - mean) @ axes), size)
+        values, turn = np.linalg.eigh(axes.T @ image)
+        best = axes @ turn[:, np.argsort(-values)]
+        axes = np.linalg.qr(image)[0]
+    best = best[:, :k]
+    return mean, best * np.where(best[np.abs(best).argmax(axis=0), np.arange(best.shape[1])] < 0, -1.0, 1.0)
+
+
+@register("task", "visualize")
+def visualize(task: Task, data: dict[str, DataFrame], mixtures: int = 8, seed: int = 3) -> tuple[DataFrame, None]:
+    """The plot's data: each crop's place on two principal components of the first extractor, and its mixture component."""
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = _vectors(query_crops(task, data), task.features_extractors[:1]).where("embedding is not null").persist()
+    mean, axes = principal_axes(rows, seed=seed)
+
+    def place(batches):
+        for batch in batches:
+            x = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, len(mean))
+            at = (x - mean) @ axes
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at[:, 0]), pa.array(at[:, 1])], names=["crop", "pc1", "pc2"])
+
+    plane = rows.select("vec_id", "embedding").mapInArrow(place, "crop long, pc1 double, pc2 double").withColumn("features", array_to_vector(F.array("pc1", "pc2")))
+    named = GaussianMixture(k=mixtures, seed=seed, maxIter=50).fit(plane).transform(plane)
+    return named.select(F.expr(f"crop div {CROPS}").alias("sample_id"), F.pmod("crop", F.lit(CROPS)).cast("int").alias("crop_id"), "pc1", "pc2", F.col("prediction").alias("component"), F.array_max(vector_to_array("probability")).alias("probability")), None
+
+
+def frame_scores(gt: DataFrame, pred: DataFrame, sizes: DataFrame) -> DataFrame:
+    """sample_id, jaccard of the rasterised frames, and the sum and number of angle errors (degrees) of frames in order.
+
+    gt and pred have sample_id and frames; sizes has sample_id, height and width. Two samples without frames agree
+    fully. The mean angle error of a set is sum(angle_error) / sum(n_angles).
+    """
+
+    def one(parts):
+        for part in parts:
+            rows = []
+            for at, h, w, a, b in part.itertuples(index=False):
+                a, b = ([] if x is None else list(x) for x in (a, b))
+                sides = []
+                for found in (a, b):
+                    on = np.zeros((int(h), int(w)), bool)
+                    for f in found:
+                        on |= K.polygon(on.shape, np.array([list(p) for p in f["corners"]], float)) > 0
+                    sides.append(on)
+                either = int((sides[0] | sides[1]).sum())
+                turns = [(math.radians(x["angle"]), math.radians(y["angle"])) for x, y in zip(a, b)]
+                wrong = [math.degrees(math.acos(max(-1.0, min(1.0, abs(math.cos(x)) * abs(math.cos(y)) + math.sin(x) * math.sin(y))))) for x, y in turns]
+                rows.append((at, int((sides[0] & sides[1]).sum()) / either if either else 1.0, sum(wrong), len(wrong)))
+            yield pd.DataFrame(rows, columns=["sample_id", "jaccard", "angle_error", "n_angles"])
+
+    both = sizes.select("sample_id", "height", "width").join(gt.select("sample_id", F.col("frames").alias("a")), "sample_id").join(pred.select("sample_id", F.col("frames").alias("b")), "sample_id", "left")
+    return both.mapInPandas(one, "sample_id long, jaccard double, angle_error double, n_angles long")
 
 
 def dataset(spark: SparkSession, path: str, database: str | None = None) -> dict[str, DataFrame]:
@@ -288,7 +466,7 @@ def dataset(spark: SparkSession, path: str, database: str | None = None) -> dict
         name = "gt_corresps" if table == "correspondences" else table
         kind = next((k for k in ("json", "pkl") if there(f"{name}.{k}")), None)
         out |= {table: read(spark, f"{path}/{name}.{kind}")} if kind else {}
-    return out | ({"database": S.images(spark, database)} if database else {})
+    return out | ({"database": S.images(spark, database), "annotations": S.annotations(spark, database)} if database else {})
 
 
 def run(spark: SparkSession, tasks: list[Task], datasets: dict[str, dict[str, DataFrame]], out: str) -> list[str]:
@@ -300,6 +478,12 @@ def run(spark: SparkSession, tasks: list[Task], datasets: dict[str, dict[str, Da
             folder = f"{out}/{task.name}_on_{at}_{name}"
             result, metrics = resolve("task", task.name)(task, datasets[at])
             result.write.parquet(f"{folder}/result")
+            if task.name.startswith("retrieval"):
+                ranked = spark.read.parquet(f"{folder}/result")
+                for kind, first in (("result_w1", True), ("result_w2", False)):
+                    S.predictions(ranked, 10, first).write.parquet(f"{folder}/{kind}")
+                if (found := frames(task, datasets[at])) is not None:
+                    found.write.parquet(f"{folder}/frames")
             if metrics is not None:
                 S.write_report(metrics, {**task.__dict__}, f"{folder}/report")
             folders.append(folder)

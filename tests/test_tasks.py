@@ -43,7 +43,7 @@ def folder(spark, tmp_path_factory):
 
 def test_sources(spark, folder):
     data = T.dataset(spark, folder, folder)
-    assert set(data) == {"images", "masks", "correspondences", "text_boxes", "database"}
+    assert set(data) == {"images", "masks", "correspondences", "text_boxes", "database", "annotations"}
     assert sorted(r.sample_id for r in data["images"].collect()) == [0, 1, 2]
     mask = data["masks"].where("sample_id = 1").first().image
     got = I.decode(mask.height, mask.width, mask.nChannels, bytes(mask.data))
@@ -140,3 +140,86 @@ def test_unknown_names_are_errors():
             T.load(text)
     with pytest.raises(ValueError):
         T.masking(T.Task("masking", []), {})
+
+
+SOURCES = """
+tasks:
+  - name: retrieval_distcomb
+    datasets: [here]
+    use_gt: true
+    ocr: constant_ocr
+    tokenizer: {name: word_tokenizer, feats_w: 0.5, distance: {name: bag_dist}}
+    preprocessing: [text_detector_wo_mask]
+    features_extractors:
+      - {name: orb_features_extractor, norm: hamming, quality_thr: 0.9, matches_thr: 0.2}
+      - {name: lbp_extractor, feats_w: 2, distance: {name: cosine, in_db_thr: 0.5}}
+    metrics: [{name: map, top_k: 1}]
+  - name: retrieval_distcomb
+    datasets: [here]
+    features_extractors: [{name: lbp_extractor, distance: {name: l1, in_db_thr: -1}}]
+    metrics: [{name: map, top_k: 1}]
+  - name: visualize
+    datasets: [here]
+    features_extractors: [grayscale_extractor]
+  - name: retrieval_comb
+    datasets: [here]
+    inference_only: true
+    preprocessing: [paint_mask_preprocessor]
+    features_extractors: [lbp_extractor]
+"""
+
+
+def test_sources_votes_and_frames(spark, folder, tmp_path):
+    T.register("ocr", "constant_ocr")(lambda img: "Joan")
+    data = T.dataset(spark, folder, folder)
+    # the gallery holds the true regions themselves
+    regions = I.crops(data["images"], I.mask_regions(data["masks"])).select("sample_id", "image").persist()
+    assert {r.sample_id: (r.image.width, r.image.height) for r in regions.collect()} == {i: (x1 - x0 + 1, y1 - y0 + 1) for i, (x0, y0, x1, y1) in BOXES.items()}
+    folders = T.run(spark, T.load(SOURCES), {"here": {**data, "database": regions}}, str(tmp_path))
+    mean = lambda f: {r.metric: r["mean"] for r in spark.read.json(f"{f}/report").collect()}
+    result = {r.query_id: r.db_id for r in spark.read.parquet(f"{folders[0]}/result").where("rnk = 1").collect()}
+    assert result == {0: 0, 1: 1, 2: 2} and mean(folders[0]) == {"map@1": 1.0}
+    assert {tuple(map(tuple, r.lists)) for r in spark.read.parquet(f"{folders[1]}/result_w2").collect()} == {((-1,),)} and mean(folders[1]) == {"map@1": 0.0}
+    plane = spark.read.parquet(f"{folders[2]}/result").collect()
+    assert sorted(r.sample_id for r in plane) == [0, 1, 2] and abs(sum(r.pc1 for r in plane)) < 1e-6 and all(0 <= r.component < 8 for r in plane)
+    found = {r.sample_id: r.frames for r in spark.read.parquet(f"{folders[3]}/frames").collect()}
+    assert set(found) == {0, 1, 2} and all(len(f.corners) == 4 for x in found.values() for f in x)
+    assert spark.read.parquet(f"{folders[3]}/result").where("rnk = 1").count() >= 3
+
+
+def test_rejected_crop_is_right_where_truth_is_null(spark):
+    found = spark.createDataFrame([(5 * T.CROPS, 1, None), (5 * T.CROPS + 1, 1, 8), (6 * T.CROPS, 1, 2), (6 * T.CROPS, 2, 3)], "query_id long, rnk int, db_id long")
+    gt = spark.createDataFrame([(5, 0, None), (5, 1, 9), (6, 0, 3), (6, 1, 2)], "query_id long, crop_pos int, db_id long")
+    result, metrics = T._scored_ranks(T.Task("retrieval", [], metrics=[{"name": "map", "top_k": 10}]), found, {"correspondences": gt})
+    assert {r.sample_id: r.value for r in metrics.collect()} == {5: 0.5, 6: 0.5} and result.count() == 4
+
+
+def test_frame_scores_by_hand(spark):
+    square = lambda x0, y0, x1, y1: [[float(a), float(b)] for a, b in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]
+    table = lambda rows: spark.createDataFrame(rows, f"sample_id long, frames {T.FRAMES}")
+    gt = table([(1, [(0.0, square(0, 0, 9, 9))]), (2, []), (3, [(10.0, square(2, 2, 5, 5)), (90.0, square(10, 10, 12, 12))])])
+    pred = table([(1, [(30.0, square(5, 0, 14, 9))]), (2, []), (3, [(170.0, square(2, 2, 5, 5))])])
+    sizes = spark.createDataFrame([(i, 20, 20) for i in (1, 2, 3)], "sample_id long, height int, width int")
+    got = {r.sample_id: (r.jaccard, r.angle_error, r.n_angles) for r in T.frame_scores(gt, pred, sizes).collect()}
+    assert got[1] == (pytest.approx(50 / 150), pytest.approx(30.0), 1)
+    assert got[2] == (1.0, 0.0, 0) and got[3] == (pytest.approx(16 / 25), pytest.approx(0.0, abs=1e-5), 1)
+
+
+def test_hamming_and_pairs(spark):
+    from facetta.operators import retrieval as R
+
+    words = np.random.default_rng(2).integers(-(1 << 63), (1 << 63) - 1, (12, 2))
+    rows = spark.createDataFrame([(i, w.tolist()) for i, w in enumerate(words)], "vec_id long, embedding array<long>")
+    got = {(r.query_id, r.db_id): r.dist for r in R.full_ranking(rows.where("vec_id < 4"), rows, "hamming", skip_self=False).collect()}
+    bits = lambda a, b: float(np.bitwise_count((words[a] ^ words[b]).view(np.uint64)).sum())
+    assert got == {(a, b): bits(a, b) for a in range(4) for b in range(12)}
+    pairs = R.all_pairs(spark.range(3).withColumnRenamed("id", "query_id"), spark.range(5).withColumnRenamed("id", "db_id"))
+    assert sorted(map(tuple, pairs.collect())) == [(a, b) for a in range(3) for b in range(5)]
+
+
+def test_principal_axes_match_svd(spark):
+    x = np.random.default_rng(4).normal(size=(200, 30)) * np.linspace(3, 0.5, 30) + 5
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    mean, axes = T.principal_axes(rows, rounds=40)
+    right = np.linalg.svd(x - x.mean(axis=0))[2][:2].T
+    assert np.allclose(mean, x.mean(axis=0)) and np.allclose(np.abs((axes * right).sum(axis=0)), 1, atol=1e-3)
