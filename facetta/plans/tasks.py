@@ -422,32 +422,34 @@ def visualize(task: Task, data: dict[str, DataFrame], mixtures: int = 8, seed: i
     return named.select(F.expr(f"crop div {CROPS}").alias("sample_id"), F.pmod("crop", F.lit(CROPS)).cast("int").alias("crop_id"), "pc1", "pc2", F.col("prediction").alias("component"), F.array_max(vector_to_array("probability")).alias("probability")), None
 
 
-def frame_scores(gt: DataFrame, pred: DataFrame, sizes: DataFrame) -> DataFrame:
-    """sample_id, jaccard of the rasterised frames, and the sum and number of angle errors (degrees) of frames in order.
-
-    gt and pred have sample_id and frames; sizes has sample_id, height and width. Two samples without frames agree
-    fully. The mean angle error of a set is sum(angle_error) / sum(n_angles).
-    """
+def frame_rows(both: DataFrame) -> DataFrame:
+    """sample_id, jaccard of the rasterised frames gt and pred on height x width pixels, and the sum and number of angle errors (degrees) of frames in order."""
 
     def one(parts):
         for part in parts:
             rows = []
             for at, h, w, a, b in part.itertuples(index=False):
                 a, b = ([] if x is None else list(x) for x in (a, b))
-                sides = []
-                for found in (a, b):
-                    on = np.zeros((int(h), int(w)), bool)
+                on = np.zeros((2, int(h), int(w)), bool)
+                for side, found in zip(on, (a, b)):
                     for f in found:
-                        on |= K.polygon(on.shape, np.array([list(p) for p in f["corners"]], float)) > 0
-                    sides.append(on)
-                either = int((sides[0] | sides[1]).sum())
+                        side |= K.polygon(side.shape, np.array([list(p) for p in f["corners"]], float)) > 0
+                either = int(on.any(axis=0).sum())
                 turns = [(math.radians(x["angle"]), math.radians(y["angle"])) for x, y in zip(a, b)]
                 wrong = [math.degrees(math.acos(max(-1.0, min(1.0, abs(math.cos(x)) * abs(math.cos(y)) + math.sin(x) * math.sin(y))))) for x, y in turns]
-                rows.append((at, int((sides[0] & sides[1]).sum()) / either if either else 1.0, sum(wrong), len(wrong)))
+                rows.append((at, int(on.all(axis=0).sum()) / either if either else 1.0, sum(wrong), len(wrong)))
             yield pd.DataFrame(rows, columns=["sample_id", "jaccard", "angle_error", "n_angles"])
 
-    both = sizes.select("sample_id", "height", "width").join(gt.select("sample_id", F.col("frames").alias("a")), "sample_id").join(pred.select("sample_id", F.col("frames").alias("b")), "sample_id", "left")
-    return both.mapInPandas(one, "sample_id long, jaccard double, angle_error double, n_angles long")
+    return both.select("sample_id", "height", "width", "gt", "pred").mapInPandas(one, "sample_id long, jaccard double, angle_error double, n_angles long")
+
+
+def frame_scores(gt: DataFrame, pred: DataFrame, sizes: DataFrame) -> DataFrame:
+    """frame_rows of two tables of sample_id and frames, with sizes of sample_id, height and width.
+
+    Samples that agree on having no frame score 1; the mean angle error of a set is sum(angle_error) / sum(n_angles).
+    """
+    both = sizes.select("sample_id", "height", "width").join(gt.select("sample_id", F.col("frames").alias("gt")), "sample_id")
+    return frame_rows(both.join(pred.select("sample_id", F.col("frames").alias("pred")), "sample_id", "left"))
 
 
 def dataset(spark: SparkSession, path: str, database: str | None = None) -> dict[str, DataFrame]:
