@@ -348,15 +348,22 @@ def extreme_corners(points: np.ndarray) -> np.ndarray:
 
 def polygon(shape: tuple[int, int], corners: np.ndarray) -> np.ndarray:
     """Pixels within a polygon, its corners and edges included."""
-    y, x = np.mgrid[: shape[0], : shape[1]].astype(float)
-    inside, on = np.zeros(shape, bool), np.zeros(shape, bool)
-    c = np.asarray(corners, float)
+    c, out = np.asarray(corners, float), np.zeros(shape, np.uint8)
+    if not len(c):
+        return out
+    left, top = (max(0, math.floor(v)) for v in c.min(axis=0))
+    right, low = (min(n, math.ceil(v) + 1) for n, v in zip(shape[::-1], c.max(axis=0)))
+    if left >= right or top >= low:
+        return out
+    y, x = np.mgrid[top:low, left:right].astype(float)
+    inside, on = np.zeros(y.shape, bool), np.zeros(y.shape, bool)
     for (x0, y0), (x1, y1) in zip(c, np.roll(c, -1, axis=0)):
         cross = (x1 - x0) * (y - y0) - (y1 - y0) * (x - x0)
         on |= (np.abs(cross) < 1e-9) & (x >= min(x0, x1) - 1e-9) & (x <= max(x0, x1) + 1e-9) & (y >= min(y0, y1) - 1e-9) & (y <= max(y0, y1) + 1e-9)
         if y0 != y1:
             inside ^= ((y0 <= y) != (y1 <= y)) & (x < x0 + (y - y0) * (x1 - x0) / (y1 - y0))
-    return (inside | on).astype(np.uint8)
+    out[top:low, left:right] = inside | on
+    return out
 
 
 def hough_lines(edges: np.ndarray, votes: int, shortest: int, gap: int) -> list[tuple[int, int, int, int]]:
