@@ -5,6 +5,9 @@ excess shared anew. Each source's documents are shuffled by hash and cut into bl
 of the mix gets the golden-ratio point i * 0.381966... mod 1; the cumulative slot weights of the sources map
 it to a source, its rank among the slots of that source picks the block. A source's blocks are taken in
 shuffled order, again from the start once they are used up, so no document is taken more than ``most`` times.
+The points meet an interval of one slot up to a few times or not at all; slots that a source is still short of
+after all points are appended, the first of every short source in scrambled order, then the second and so on, so
+every source gets exactly its slots.
 
 Sums and ranks that run over a whole source (or over all slots) go by chunks of about the square root of its
 rows: totals per chunk first, then the running sum over chunks, then inside the chunk. No task gathers a source.
@@ -87,7 +90,7 @@ def schedule(sizes: DataFrame, block: int = 64, seed: int = 7, **shares) -> tupl
     # slots: intervals of the sources in 2^-32 of all slots, met by cells
     upto = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     share = sources.filter("n_slots > 0").withColumn("sum", F.sum("n_slots").over(upto)).withColumn("all", F.sum("n_slots").over(Window.partitionBy()))
-    share = share.select("pos", "n_blocks", "n_slots", "all", F.round((F.col("sum") - F.col("n_slots")) / F.col("all") * WHOLE).cast("long").alias("lo"), F.round(F.col("sum") / F.col("all") * WHOLE).cast("long").alias("hi"))
+    share = share.select("pos", "n_blocks", "n_slots", "sum", "all", F.round((F.col("sum") - F.col("n_slots")) / F.col("all") * WHOLE).cast("long").alias("lo"), F.round(F.col("sum") / F.col("all") * WHOLE).cast("long").alias("hi"))
     width = WHOLE // CELLS
     cells = share.filter("hi > lo").select("*", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("cell"))
     n = sources.agg(F.sum("n_slots")).first()[0] or 0
@@ -99,11 +102,20 @@ def schedule(sizes: DataFrame, block: int = 64, seed: int = 7, **shares) -> tupl
     size = max(1, int(n**0.5))
     slots = slots.withColumn("chunk", F.floor(F.col("slot") / size)).select("slot", "pos", "n_blocks", "n_slots", "chunk")
     counts = slots.groupBy("pos", "chunk").agg(F.count("*").alias("c"))
-    counts, _ = stored(spark, counts.select(F.col("pos").alias("cpos"), F.col("chunk").alias("cchunk"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before")), "mix-slot-chunks")
+    counts, _ = stored(spark, counts.select(F.col("pos").alias("cpos"), F.col("chunk").alias("cchunk"), "c", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before")), "mix-slot-chunks")
     within = F.row_number().over(Window.partitionBy("pos", "chunk").orderBy("slot")) - 1
     ranked = slots.withColumn("within", within).join(counts, (F.col("pos") == F.col("cpos")) & (F.col("chunk") == F.col("cchunk")))
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("within")).filter("rank < n_slots")
-    return sources, placed, ranked.select("slot", "pos", "rank", "n_blocks", F.expr("rank % n_blocks").alias("turn"))
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("within")).filter("rank < n_slots").select("slot", "pos", "rank", "n_blocks")
+
+    # what the points leave short: ranks from the number met on, in slots after all points
+    met = counts.groupBy(F.col("cpos").alias("mpos")).agg(F.sum("c").alias("met"))
+    short = share.join(met, F.col("pos") == F.col("mpos"), "left").withColumn("met", F.coalesce("met", F.lit(0))).filter("met < n_slots")
+    first = F.expr("sum - n_slots")
+    spread = F.floor(first / WHOLE) * WHOLE + F.pmod((first % WHOLE) * F.lit(STEP).cast("long"), F.lit(WHOLE))
+    turns = short.withColumn("rank", F.explode(F.sequence(F.col("met"), F.col("n_slots") - 1)))
+    slot = F.lit(n + 64) + (F.col("rank") - F.col("met")) * F.lit(-(-n // WHOLE) * WHOLE) + spread
+    ranked = ranked.unionByName(turns.select(slot.cast("long").alias("slot"), "pos", "rank", "n_blocks"))
+    return sources, placed, ranked.withColumn("turn", F.expr("rank % n_blocks"))
 
 
 def pieces(placed: DataFrame, seed: int = 7) -> DataFrame:

@@ -78,6 +78,17 @@ def test_schedule_spreads_sources(spark):
     assert all(v == list(range(len(v))) for v in ranks.values())
 
 
+def test_every_source_gets_its_slots(spark):
+    """Three million slots, 30,000 sources of one block: the points miss many of these, and meet others twice."""
+    sizes = spark.range(0, 30_000).selectExpr("id as doc_id", "concat('s', id) as source", "id as h", "64L as size")
+    sizes = sizes.unionByName(spark.range(1).selectExpr("-1L as doc_id", "'a' as source", "0L as h", "192000000L as size"))
+    sources, _, slots = mixing.schedule(sizes, weights=(1.0,), share=1.0, most=1.0)
+    got = slots.groupBy("pos").agg({"rank": "max", "slot": "count"}).toDF("pos", "last", "n")
+    wrong = sources.filter("n_slots > 0").join(got, "pos", "left").filter("n is null or n <> n_slots or last <> n_slots - 1")
+    assert sources.agg({"n_slots": "sum"}).first()[0] == 3_030_000 and wrong.isEmpty()
+    assert slots.select("slot").distinct().count() == 3_030_000
+
+
 def test_every_block_is_visited_once_a_pass(spark):
     turns = spark.range(0, 1000).selectExpr("id as block", "1000L as n_blocks").select(mixing.block_turn(7).alias("t")).collect()
     assert sorted(r.t for r in turns) == list(range(1000))
