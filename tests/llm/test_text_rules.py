@@ -1,5 +1,6 @@
 """Quality rules, URL filter and quality classifier against plain versions."""
 
+import base64
 import collections
 import random
 import re
@@ -47,6 +48,17 @@ def test_rules_reject_repetition_and_noise(spark):
     assert kept == {1: False, 2: True, 3: False}
 
 
+def test_rules_judge_every_byte(spark, sf):
+    """Noise at the end of a text, or in a text of less than a large chunk, does not hide behind prose."""
+    text = " ".join(r.text for r in spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1"), "doc_id").orderBy("doc_id").limit(60).collect())
+    prose = text.encode().decode("ascii", "ignore")
+    noise = base64.b64encode(random.Random(5).randbytes(4000)).decode()
+    cuts = [(4096, 3900), (8192, 3900), (2000, 2000), (4096, 2048), (700, 500)]
+    texts = [prose[:a] + " " + noise[:b] for a, b in cuts] + [prose[: a + b] for a, b in cuts]
+    kept = {r.doc_id: r.kept for r in quality_rules.compression_quality(docs_of(spark, [(i, t, "") for i, t in enumerate(texts)])).collect()}
+    assert [kept[i] for i in range(10)] == [False] * 5 + [True] * 5
+
+
 def test_rules_empty(no_docs):
     assert quality_rules.compression_quality(no_docs).collect() == []
 
