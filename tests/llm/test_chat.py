@@ -75,6 +75,21 @@ def test_thread(spark):
     assert [by[(1, t)][3] for t in range(5)] == [None, 0, 1, None, 2] and by[(1, 4)][4] == 0 and by[(1, 4)][2] == "Two lines\nend"
 
 
+def test_trimmed_quotes_link(spark):
+    """Several but not all lines or paragraphs of a message, and lines that no message has together."""
+    rows = [
+        (1, 0, "user", "one a\none b\n\ntwo\n\nthree a\nthree b"), (1, 1, "user", "l1\nl2\nl3\nl4"), (1, 2, "user", "l2\nx"),
+        (1, 3, "user", "> two\n>\n> Three a\n> three b\nok"), (1, 4, "user", "> one a one b\n>\n> two\nok"), (1, 5, "user", "> l2\n> l3\nok"), (1, 6, "user", "> l1\n> l4\nok"),
+        (1, 7, "user", "> l3\n> l1\nok"), (1, 8, "user", "> l3\n> l3\nok"), (1, 9, "user", "> l1\n> x\nok"), (1, 10, "user", "> l4\n> later\nok"), (1, 11, "user", "a\nl4\nlater"),
+        (2, 1, "user", "> l2\n> l3\nok"), (None, 4, "user", "> l2\n> l3"), (1, 12, "user", "> one a one b\n>\n> three a three b\nok"), (1, 13, "user", "> l2\n> x\n> y\nok"),
+    ]
+    got = {(r[0], r[1]): r[3:] for r in run(spark, rows)}
+    links = {k: v[0] for k, v in got.items()}
+    assert [links[(1, t)] for t in range(3, 14)] == [0, 0, 1, 1, None, None, None, None, None, 0, None]
+    assert links[(2, 1)] is None and links[(None, 4)] is None
+    assert got[(1, 5)] == (1, 1, 1, 1) and got[(1, 7)] == (None, 7, 1, 0)
+
+
 def test_random_threads(spark):
     r = random.Random(4)
     rows = []
