@@ -48,6 +48,16 @@ def test_rules_reject_repetition_and_noise(spark):
     assert kept == {1: False, 2: True, 3: False}
 
 
+def test_rules_reject_short_noise(spark, sf):
+    """Base64 in short words from 128 bytes on goes; clean short texts stay."""
+    r = random.Random(6)
+    noise = [" ".join(base64.b64encode(r.randbytes(9)).decode()[: r.randint(8, 12)] for _ in range(60))[:n] for n in (140, 200, 260, 330, 400, 500, 550)]
+    clean = [x.text for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1"), "doc_id").collect() if 128 <= len(x.text.encode()) < 768]
+    rows = {x.doc_id: x for x in quality_rules.compression_quality(docs_of(spark, [(i, t, "") for i, t in enumerate(noise + clean)])).collect()}
+    assert not any(rows[i].base_failed or rows[i].kept for i in range(len(noise)))
+    assert len(clean) > 30 and all(rows[i].kept or rows[i].base_failed for i in range(len(noise), len(rows)))
+
+
 def test_rules_judge_every_byte(spark, sf):
     """Noise at the end of a text, or in a text of less than a large chunk, does not hide behind prose."""
     text = " ".join(r.text for r in spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1"), "doc_id").orderBy("doc_id").limit(60).collect())
