@@ -7,7 +7,8 @@ the window gives the only possible start, which must leave room for the whole wi
 bounds), and the words there are compared exactly.
 
 Defined cases: a null or empty text, of a document or an item, has no words, so it is never hit. Repeated
-rows get equal results, one row each. Items with the same id are one item. Ties in rarity go to the word
+rows get equal results, one row each. Items without an id are dropped, unless ``null_items``: then their windows
+hit like any other, and n_items and the item list have only items with an id. Items with the same id are one item. Ties in rarity go to the word
 that sorts first, then to its first place in the window. An empty benchmark hits nothing. Extra columns
 are ignored.
 """
@@ -32,9 +33,9 @@ def parts(text: Column) -> Column:
     return F.split(lower_ascii(F.coalesce(text, F.lit(""))), GAP)
 
 
-def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
+def item_windows(benchmark: DataFrame, window: int, null_items: bool = False) -> DataFrame:
     """item, w (window words) and n (their number), one row per distinct window of an item."""
-    base = benchmark.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item"), F.array_remove(parts(F.col("text")), "").alias("ws")).filter(F.size("ws") > 0)
+    base = (benchmark if null_items else benchmark.filter("item_id is not null")).select(F.col("item_id").cast("string").alias("item"), F.array_remove(parts(F.col("text")), "").alias("ws")).filter(F.size("ws") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - window + 1, F.lit(1)))
     return base.select("item", "ws", F.explode(starts).alias("s")).select("item", F.expr(f"slice(ws, s, {window})").alias("w")).distinct().withColumn("n", F.size("w"))
 
@@ -44,10 +45,10 @@ def sized(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, null_items: bool = False) -> DataFrame:
     """doc_id, h (row hash), s, e (first and last word position of an occurrence) and item."""
     spark = docs.sparkSession
-    windows, _ = stored(spark, item_windows(benchmark, window), "benchmark-windows")
+    windows, _ = stored(spark, item_windows(benchmark, window, null_items), "benchmark-windows")
     vocabulary = windows.select(F.explode("w").alias("word")).distinct()
     texts = docs.select("doc_id", "text")
     each = texts.select(F.explode(parts(F.col("text"))).alias("word"))
@@ -72,10 +73,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     return starts.join(windows.select("w", "item"), "w").select("doc_id", "h", "s", "e", "item")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, null_items: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and row_hash of every document."""
     spark = docs.sparkSession
-    found, _ = stored(spark, hits(docs, benchmark, window), "benchmark-hits")
+    found, _ = stored(spark, hits(docs, benchmark, window, null_items), "benchmark-hits")
     spans = found.groupBy("doc_id", "h", "s").agg(F.max("e").alias("e"))
     before = Window.partitionBy("doc_id", "h").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     fresh = spans.withColumn("last", F.coalesce(F.max("e").over(before), F.lit(-1)))
@@ -99,8 +100,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, null_items: bool = False) -> DataFrame:
     """The documents without a window of an item, with all their columns."""
-    found, _ = stored(docs.sparkSession, hits(docs, benchmark, window), "benchmark-hits")
+    found, _ = stored(docs.sparkSession, hits(docs, benchmark, window, null_items), "benchmark-hits")
     gone = found.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (row_hash(docs["text"]) == gone["__h"]), "left_anti")

@@ -35,7 +35,7 @@ def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_hash")
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), null_items=True).drop("row_hash")
 
 
 def op8_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,17 @@ def test_edges(spark, edge_docs, no_docs):
     assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter(r[0] for r, c in run(edge_docs, bench).items() for _ in range(c) if not r[5])
 
 
+def test_items_without_an_id_hit_in_the_queries(spark, edge_docs, tmp_path):
+    import corpus_pipeline
+    from facetta.llm import queries
+
+    edge_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, "no id"), (1, "two three four")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [r for r in queries.op7_prefix_decontamination(spark, str(tmp_path)).collect() if r.doc_id is None]
+    assert [(r.n_words, r.n_hit, r.n_items, r.contaminated) for r in rows] == [(5, 2, 0, True)]
+    assert None not in {r.doc_id for r in corpus_pipeline.decontaminate_docs(spark, edge_docs, str(tmp_path)).collect()}
+
+
 def test_overlaps_and_hot_passage(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     docs = docs_of(spark, [(i, f"{passage} tail{i} {passage if i % 2 else ''} the the the the the the the the the the the", "s") for i in range(400)])
