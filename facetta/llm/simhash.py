@@ -221,8 +221,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def simhash_groups(docs: DataFrame, size: int = 3, seed: int = 42, max_bits: int = 2, most: int = 2048) -> DataFrame:
-    """doc_id, fingerprint, component_id and row_hash of every document.
+def rooted(docs: DataFrame, size: int = 3, seed: int = 42, max_bits: int = 2, most: int = 2048) -> DataFrame:
+    """doc_id, fingerprint, component_id, row_hash and root (the least fingerprint of the component) of every document.
 
     most: members of a cell that one task may hold; larger cells are dealt again, none is cut.
     """
@@ -232,17 +232,23 @@ def simhash_groups(docs: DataFrame, size: int = 3, seed: int = 42, max_bits: int
     tree = components(links(nodes.select("fp"), max_bits, most))
     named = nodes.join(tree, nodes.fp == tree.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = named.join(smallest, "root").select("fp", "component_id")
+    names = named.join(smallest, "root").select("fp", "root", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return found.join(names, "fp").select("doc_id", hexed, "component_id", "row_hash")
+    return found.join(names, "fp").select("doc_id", hexed, "component_id", "row_hash", "root")
+
+
+def simhash_groups(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, fingerprint, component_id and row_hash of every document."""
+    return rooted(docs, **options).drop("root")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those of a group but its smallest id; one row of repeated rows stays."""
+    """One document of each group: the first by (doc_id, nulls last, row_hash); one row of repeated rows stays."""
     spark = docs.sparkSession
-    grouped, _ = stored(spark, simhash_groups(docs, **options), "simhash-groups")
-    gone = grouped.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).distinct()
-    key = (docs["doc_id"] == gone["__id"]) & (row_hash(docs["text"]) == gone["__hash"])
-    kept = docs.join(gone, key, "left_anti")
-    repeated = grouped.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
+    grouped, _ = stored(spark, rooted(docs, **options), "simhash-groups")
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("first"))
+    held = grouped.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_hash") == F.col("first.row_hash")))
+    gone = held.filter("not stays").select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).distinct()
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (row_hash(docs["text"]) == gone["__hash"]), "left_anti")
+    repeated = held.filter("stays").groupBy("root").count().filter("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

@@ -116,6 +116,13 @@ def test_keep_one(spark, edge_docs, no_docs):
     assert simhash.simhash_groups(no_docs).collect() == [] and simhash.keep_one(no_docs).collect() == []
 
 
+def test_keep_one_without_ids_and_with_a_tied_id(spark):
+    same, other, third = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(None, same), (None, same), (None, same.upper()), (None, other), (5, other), (7, third), (7, third.upper()), (7, third), (9, third)]
+    kept = simhash.keep_one(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()
+    assert sorted((str(r.doc_id), r.text.lower()) for r in kept) == [("5", other), ("7", third), ("None", same)]
+
+
 def test_hot_group_of_copies(spark):
     docs = docs_of(spark, [(i, "the same text of some few words" if i % 3 == 0 else f"other text number {i} of many words", "s") for i in range(3000)])
     got = simhash.simhash_groups(docs).collect()
