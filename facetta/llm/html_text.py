@@ -9,9 +9,11 @@ programming over the tree.
 
 The trees are trained here, on pages made by a seeded generator of templates (``training_pages`` of them).
 
-Defined cases: a null or empty html has an empty text. A page without any likely article has an empty text. Tags
-cut off at the end are dropped; unclosed elements end with the page. White space is any Unicode white space,
-``<br>`` included. Repeated rows are judged alike. Extra columns are ignored.
+Defined cases: a null or empty html has an empty text, an empty table an empty result. A page without any likely
+article has an empty text. Tags cut off at the end are dropped; unclosed elements end with the page. White space is
+any Unicode white space, ``<br>`` included. Text of other elements than scripts, styles, form fields and what no
+browser shows stays (formulas, fallbacks, drawings). Very long and very deep pages are judged whole, in time and
+memory of their own size. Repeated rows are judged alike. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ BLOCK_TAGS = (
     "nav header footer aside form fieldset legend label button menu address details summary dialog center hr"
 ).split()
 CODE = {t: i for i, t in enumerate(BLOCK_TAGS)}
-#: Elements whose whole content is no text of the page.
-RAW = "script|style|noscript|template|svg|iframe|object|textarea|select|title|canvas|video|audio|math"
+#: Elements whose whole content is no text of the page: scripts, styles, what no browser shows, parts of forms, the title.
+RAW = "script|style|template|iframe|noembed|noframes|textarea|select|title"
 TOKEN = re.compile(
     rf"<(?:!--.*?(?:-->|\Z)|(?P<raw>{RAW})\b(?>[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[!?/][^>]*>|[a-z!/?][^<>]*\Z)",
     re.S | re.I,
@@ -93,6 +95,7 @@ def parse(source: str) -> Page:
     """Block nodes in page order, and text blocks with their node and length of linked text."""
     page = Page([CODE["html"]], [-1], [0], [0])
     stack, names = [0], ["html"]
+    places: dict[str, list[int]] = {}  # of the open elements of a tag, outermost first
     words: list[str] = []
     linked, in_link, at = 0, 0, 0
 
@@ -108,8 +111,14 @@ def parse(source: str) -> Page:
             linked = 0
 
     def pop_to(i: int):
+        for name in names[i:]:
+            places[name].pop()
         del stack[i:], names[i:]
 
+    def last(tags) -> int:
+        """Where the innermost open element of some tags is; 0 without one."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def add(piece: str):
         nonlocal linked
         if "&" in piece:
@@ -131,23 +140,19 @@ def parse(source: str) -> Page:
         if tag in CODE:
             flush()
             if m["end"]:
-                if tag in names[1:]:
-                    pop_to(len(names) - 1 - names[::-1].index(tag))
+                if places.get(tag):
+                    pop_to(last((tag,)))
                 if tag != "p":
                     in_link = 0
                 continue
-            if tag in ("html", "body") and tag in names:
+            if tag == "html" or tag == "body" and places.get("body"):
                 continue
-            if "p" in names[-1:]:
+            if names[-1] == "p":
                 pop_to(len(names) - 1)
             if tag in CLOSES:
-                closed, barrier = CLOSES[tag]
-                i = len(names) - 1
-                while i > 0 and names[i] not in barrier:
-                    if names[i] in closed:
-                        pop_to(i)
-                        break
-                    i -= 1
+                closed, barrier = map(last, CLOSES[tag])
+                if closed > barrier:
+                    pop_to(closed)
             if tag == "hr":
                 continue
             bits, marks = kinds_of(m["attrs"]) if m["attrs"] else (0, 0)
@@ -155,6 +160,7 @@ def parse(source: str) -> Page:
             page.parent.append(stack[-1])
             page.kinds.append(bits)
             page.marks.append(marks)
+            places.setdefault(tag, []).append(len(stack))
             stack.append(len(page.tag) - 1)
             names.append(tag)
         elif tag == "a":

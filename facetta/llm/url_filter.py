@@ -1,8 +1,9 @@
 """URL filter: explicit rules first, else logistic regression on hashed character n-grams of host and path.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; no rule fits it and the
-model judges the empty string (allowed). Repeated rows are judged alike. Of rules that fit, the longest
-wins, then the one that sorts first.
+model judges the empty string (allowed). Very long urls are judged whole, in memory of their own size. Repeated
+rows are judged alike, an empty table gives an empty result, extra columns are ignored. Of rules that fit, the
+longest wins, then the one that sorts last.
 """
 
 from __future__ import annotations
@@ -21,18 +22,23 @@ from facetta.llm.common import by_batch, lower_ascii
 #: (verdict, host, path) of the rules that come before the model.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-# The labelled table is made by rule from these general words: unwanted subjects, subjects of ordinary sites, words that
-# go with either, and common letter groups of which invented names are made.
-UNWANTED = "casino poker slots jackpot betting bets lottery pills viagra pharmacy replica loans payday adult porn xxx sex cams escort spam seo ads popup clickbait warez crack torrent keygen crypto prize".split()
+# The labelled table is made by rule. Unwanted subjects are the categories of public blocklists (gambling, medicines, dating
+# and adult material, loans, piracy, fraud and malware, link trade) and plain words for them; ordinary subjects are those
+# of general sites; some words go with either; invented names are made of common letter groups.
+UNWANTED = (
+    "gambling poker roulette blackjack bingo lottery jackpot wager sportsbook viagra cialis tablets pharmacy steroids dating hookup porn "
+    "erotic escort webcam nude payday loans credit debt warez crack keygen torrent serials pirated phishing malware trojan spyware scam "
+    "replica counterfeit popup clickbait backlinks doorway toolbar"
+).split()
 WANTED = (
-    "library museum news times science garden university cooking weather history travel maps physics health books photo music farm "
-    "letters forum river birds math linux language stars hills mill hospital recipes railway theatre painting geology chess forest "
+    "library museum news times science garden university cooking weather history travel maps physics health books photo music theatre "
+    "letters forum river birds math linux language stars hills mill hospital recipes railway painting geology chess forest "
     "pottery harbour village college archive bakery orchard sailing printing weaving botany astronomy poetry records bridges castles skills"
 ).split()
-EITHER = "free best win hot online fast easy cheap track farm link deals store top club world daily my the x".split()
+EITHER = "online best top club world shop store home group service info daily point zone web my the our".split()
 LETTERS = "th he in er an re on at en nd ti es or te ed is it al ar st to nt ng ha as ou io le ve co me de hi ri ro ic ne ea ra ce tion ing ent ion her for ter ly sh wh".split()
-HOSTS = ("www.{}.com", "blog.{}.example.org", "{}.example.com", "m.{}.org", "{}.net", "m.{}.example.net")
-PATHS = ("/", "/en/381", "/fr/5520.html", "/de/77/", "/es/1204?page=2")
+HOSTS = ("www.{}.com", "{}.com", "{}.org", "{}.net", "www.{}.co.uk", "shop.{}.de", "blog.{}.fr", "{}.example.edu")
+PATHS = ("/", "/index.html", "/about", "/2019/05/", "/articles/17", "/list.php")
 #: Names that each subject gives, and names made of letter groups.
 NAMES, INVENTED = 8, 300
 
@@ -42,7 +48,7 @@ def labelled_urls(seed: int = 3) -> list[tuple[str, str, int]]:
     r, rows = random.Random(seed), []
 
     def put(name: str, label: int) -> None:
-        path = r.choice(PATHS).partition("?")[0]
+        path = r.choice(PATHS)
         rows.append((r.choice(HOSTS).format(name), path, label))
         if r.random() < 0.25:
             rows.append(("www.example.org", f"/{name}{path}", label))
@@ -51,8 +57,9 @@ def labelled_urls(seed: int = 3) -> list[tuple[str, str, int]]:
         for word in words:
             put(word, label)
             for _ in range(NAMES):
-                other = r.choice(EITHER)
-                put("-".join((word, other) if r.random() < 0.5 else (other, word)), label)
+                pair = [word, r.choice(EITHER)]
+                r.shuffle(pair)
+                put(r.choice(("-", "")).join(pair), label)
     for _ in range(INVENTED):
         put("".join(r.choice(LETTERS) for _ in range(r.choice((2, 2, 3, 4)))), 0)
     return rows

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from facetta.llm import html_text as H
+from tests.llm.html_pages import PAGES
 
 
 def body(p):
@@ -48,6 +49,31 @@ def test_a_page_with_everything():
     assert H.extract([PAGE], H.train())[0] == want
 
 
+def test_hand_made_pages():
+    """Pages that neither the generator nor the tables made: every block of the article, no other."""
+    for (page, want), got in zip(PAGES, H.extract([p for p, _ in PAGES], H.train())):
+        assert got == want
+
+
+def test_unlisted_elements_keep_their_text():
+    extra = "<math><mi>E</mi><mo>=</mo><mi>m</mi></math> <svg><text>drawn</text></svg> <noscript>plain</noscript> <video>film</video> <object>thing</object> <canvas>grid</canvas>"
+    page = PAGE.replace("Nobody had seen them before.", f"Nobody had seen them before. {extra} <script>var a='<p>no</p>'</script><style>p{{}}</style>")
+    assert "Nobody had seen them before. E=m drawn plain film thing grid\n" in H.extract([page], H.train())[0]
+
+
+@pytest.mark.parametrize("source", ["<div>{n}</p></li></td>", "<ul><li><ul><div>{n}<li></li>", "<div>{n}x</div>"])
+def test_deep_pages_take_linear_time(source):
+    import time
+
+    head, tail = source.split("{n}")
+    seconds = []
+    for n in (8_000, 64_000):
+        began = time.perf_counter()
+        H.features(H.parse(head * n + tail * n))
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 24 * seconds[0] + 1
+
+
 def test_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain words only"), (4, "u", "<p>a" * 5000), (5, "u", "<" * 2000), (6, "u", "<div class='x"), (7, "u", "</p></div><li></li></ul>"), (None, "u", PAGE), (8, "u", PAGE), (8, "u", PAGE), (9, "u", '<script>var a="<p>no</p>"'), (10, "u", "<div>" * 3000 + "x"), (11, "u", "<a " + "'" * 3000), (12, "u", "<p " * 3000)]
     pages = spark.createDataFrame([(*r, "e") for r in rows], "page_id long, url string, html string, text string")

@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import math
 import random
 import re
 import zlib
@@ -23,13 +24,16 @@ def plain_rules(text):
     again = {j for i in range(len(words) - 4) if grams[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
     lines = [x for x in text.split("\n") if WORD.search(x)]
     failed = len(words) < 10 or 100 * len(again) > 20 * len(words)
-    data, size = text.encode(), 4096
+    data, bands = text.encode(), quality_rules.Bands()
     shrink = lambda x: len(zstandard.compress(x, 3)) / len(x)
     ratio = shrink(data) if data else 0
-    low, high = [(a, b) for least, a, b in quality_rules.Bands().whole if len(data) >= least][-1]
-    chunks = [data[i : i + size] for i in range(0, len(data) - size + 1, size)] if len(data) > size else []
-    bad = sum(not 0.30 <= shrink(c) <= 0.72 for c in chunks)
-    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(again), failed, bool(not failed and low <= ratio <= high and bad <= len(chunks) / 4)
+    low, high = [(a, b) for least, a, b in bands.whole if len(data) >= least][-1]
+    good = low <= ratio <= high
+    for size, (low, high) in ((4096, bands.chunk), (512, bands.part)):
+        if len(data) > size:
+            ends = sorted({*range(size, len(data), size), len(data)})
+            good &= sum(not low <= shrink(data[e - size : e]) <= high for e in ends) <= len(ends) / 4
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(again), failed, bool(not failed and good)
 
 
 def test_rules_match_plain(spark, sf, edge_docs):
@@ -104,17 +108,31 @@ def test_url_model_separates_unseen_hosts():
     scores = model.scores([r[0] for r in rows], [r[1] for r in rows])
     label = np.array([r[2] for r in rows])
     assert len(rows) > 1000 and (scores[label == 1] > 0).mean() > 0.9 and (scores[label == 0] < 0).mean() > 0.97
-    bad = ["cheap-pills.example.org", "best-casino.com", "free-bets.example.com", "adult-xx.net", "m.spam-farm.example.org", "casino-win.example.com", "porn-cams.net"]
+    bad = ["poker-night.example.org", "lotterytown.com", "erotic-films.net", "m.warez-box.example.org"]
     good = ["ththan.example.org", "blog.thered.example.com", "www.mountain-library.org", "m.thther.example.org", "hills.example.com"]
     assert (model.scores(bad, ["/en/5"] * len(bad)) > 0).all()
     assert (model.scores([*good, ""], ["/en/5"] * len(good) + [""]) < 0).all()
 
 
+def test_url_probability_matches_plain(spark):
+    """Each n-gram of host and path by itself, summed in plain Python; very long and odd urls included."""
+    model = url_filter.fit_url_model()
+    urls = ["http://www.roulette-club.org/a/b?c", "http://library.example.com/", "", None, "http://ÄÖ.net/ü", "http://" + "long-" * 4000 + ".com/" + "x" * 9000, "a://b://c", "http://h/\nline"]
+    pages = spark.createDataFrame([(i, u, 0.5) for i, u in enumerate(urls * 2)], "page_id long, url string, p_unwanted double")
+    for r in url_filter.url_verdicts(pages).collect():
+        total = 0.0
+        for kind, part in ((b"h", r.host), (b"p", r.path)):
+            data = b"^" + part.encode() + b"$"
+            total += sum(float(model.weights[zlib.crc32(kind + data[i : i + n]) % (1 << model.bits)]) for n in model.orders for i in range(len(data) - n + 1))
+        z = model.bias + total / max(1.0, (len(r.host) + len(r.path)) * len(model.orders)) ** 0.5
+        assert r.p_unwanted == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+
 def test_classifier_on_held_out(spark):
     base = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
     found = quality_classifier.quality_scores(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
-    assert ((zlib.crc32(b"7") % 5 == 0) or True) and len(found) > 500
+    assert len(found) > 500
     good, bad = found[found.quality == 1], found[found.quality == 0]
     assert good.predicted.mean() > 0.98
     assert bad.predicted.mean() < 0.15
@@ -139,6 +157,16 @@ def test_classifier_edges(spark, edge_docs, no_docs):
     assert quality_classifier.keep_good(edge_docs, labels).columns == edge_docs.columns
 
 
+def plain_vote(vectors, labels, v, settings):
+    """All similarities in steps of 1e-6, sorted by (similarity, earlier row)."""
+    steps = quality_classifier.STEPS
+    sims = [round(sum(float(a) * float(b) for a, b in zip(v, w)) * steps) for w in vectors]
+    top = sorted(range(len(sims)), key=lambda i: (-sims[i], i))[: settings.k]
+    weight = [max(sims[i], 0) / steps for i in top]
+    total = sum(w**settings.power for w in weight)
+    return sum(w**settings.power * labels[i] for w, i in zip(weight, top)) / total if total else None
+
+
 def test_exact_cosine_votes():
     rng = np.random.default_rng(5)
     texts = [bytes(rng.integers(97, 100 + (i % 2) * 10, 400, dtype=np.uint8)).replace(b"a", b" ") for i in range(60)]
@@ -148,7 +176,42 @@ def test_exact_cosine_votes():
     model = quality_classifier.fit_counts(counts, labels, settings)
     vectors = model.embed(counts)
     for i, got in enumerate(model.score(counts)):
-        sims = np.array([float(vectors[i] @ v) for v in model.vectors])
-        top = np.argsort(-sims, kind="stable")[:5]
-        w = np.maximum(sims[top], 0) ** 4
-        assert got == pytest.approx((w * labels[top]).sum() / w.sum(), abs=1e-3)
+        assert got == pytest.approx(plain_vote(model.vectors, labels, vectors[i], settings), abs=1e-6)
+
+
+def test_ties_go_to_the_earlier_row_whatever_the_block():
+    """Copies with other labels tie at rank k; blocks of any size vote alike."""
+    rng = np.random.default_rng(8)
+    base = [bytes(rng.integers(97, 110, 300, dtype=np.uint8)).replace(b"b", b" ") for _ in range(12)]
+    texts = [base[i % 12] for i in range(120)]
+    counts = np.stack([quality_classifier.raw_counts(t) for t in texts])
+    labels = rng.integers(0, 2, 120)
+    found = []
+    for block in (1, 7, 1024):
+        settings = quality_classifier.Settings(k=4, rank=8, block=block)
+        model = quality_classifier.fit_counts(counts, labels, settings)
+        found.append(model.score(counts[:24]))
+    assert (found[0] == found[1]).all() and (found[0] == found[2]).all()
+    for i in range(24):
+        assert found[0][i] == pytest.approx(labels[[j for j in range(120) if j % 12 == i % 12][:4]].mean())
+
+
+def test_whole_table_matches_plain_votes(spark, sf):
+    """The query's scores against plain loops over every document and every labelled row."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    settings = quality_classifier.Settings()
+    model = quality_classifier.fit(docs, labels, settings)
+    got = {(r.doc_id, r.row_hash): r.score for r in quality_classifier.quality_scores(docs, labels).collect()}
+    rows = docs.selectExpr("doc_id", "text", "case when text is null then 0 else xxhash64(text) end as h").collect()
+    assert len(rows) == docs.count() and len(model.labels) > 50
+    for r in rows:
+        counts = quality_classifier.raw_counts((r.text or "").encode())[None, :]
+        want = plain_vote(model.vectors, model.labels, model.embed(counts)[0], settings) if counts.any() else model.prior
+        assert got[r.doc_id, r.h] == pytest.approx(model.prior if want is None else want, abs=1e-5)
+
+
+def test_cross_validation_never_sees_held_out_rows(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    choices = [quality_classifier.Settings(), quality_classifier.Settings(shape=0.0)]
+    with_, without = (quality_classifier.cross_validated(docs, x, choices) for x in (labels, labels.filter(~quality_classifier.held_out(labels.doc_id))))
+    assert with_ == without and all(0 <= area <= 1 for _, area, _ in with_)
