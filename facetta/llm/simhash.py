@@ -15,7 +15,8 @@ round is a written table.
 
 Defined cases: a null or empty text has fingerprint zero, which links like any other. Rows with equal text
 share a fingerprint. Null ids are never a smallest id; a component of null ids alone has a null component.
-Repeated ids are rows of their own. An empty table gives an empty result.
+Repeated ids are rows of their own. Very long texts are hashed whole, in memory of some times their size. Extra
+columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -150,6 +151,24 @@ def local_edges(fps: np.ndarray, max_bits: int, block: int = 512) -> list[tuple[
     return [(i, r) for i in range(n) if (r := root(i)) != i]
 
 
+def discarded(fps: np.ndarray, max_bits: int = 2) -> dict[str, int]:
+    """What the distance table saves: pairs that share a first cell, those that its coordinates leave, and those that link."""
+    fps = np.unique(fps)
+    row, held, key = cells(fps, 0)
+    order = np.lexsort((key, held))
+    row, held, key = row[order], held[order], key[order]
+    starts = np.flatnonzero(np.concatenate(([True], (held[1:] != held[:-1]) | (key[1:] != key[:-1]))))
+    met = left = linked = 0
+    for a, b in zip(starts, [*starts[1:], len(row)]):
+        some = fps[row[a:b]]
+        table = distance_table(some)[:, [0, *range(65, 65 + len(RANDOM))]]
+        i, j = np.triu_indices(b - a, 1)
+        near = np.abs(table[i] - table[j]).max(axis=1, initial=0) <= max_bits
+        met, left = met + len(i), left + int(near.sum())
+        linked += int((np.bitwise_count(some[i] ^ some[j]) <= max_bits).sum())
+    return {"pairs": len(fps) * (len(fps) - 1) // 2, "met": met, "left": left, "linked": linked}
+
+
 def links(distinct: DataFrame, max_bits: int = 2, most: int = 2048) -> DataFrame:
     """Spanning edges (a, b) between linked fingerprints; distinct has one column, fp."""
     spark = distinct.sparkSession
@@ -243,12 +262,25 @@ def simhash_groups(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group: the first by (doc_id, nulls last, row_hash); one row of repeated rows stays."""
+    """Exactly one document of each group, with all its columns: the first by a total order.
+
+    The order is (doc_id, nulls last; hash of the text; hash of all columns). Rows that are equal in all columns
+    are one. No row of another group changes what is kept of a group: null ids, and ids that repeat in other
+    groups, follow the same order. Extra columns stay. An empty table gives an empty one.
+    """
     spark = docs.sparkSession
     grouped, _ = stored(spark, rooted(docs, **options), "simhash-groups")
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("first"))
     held = grouped.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_hash") == F.col("first.row_hash")))
-    gone = held.filter("not stays").select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (row_hash(docs["text"]) == gone["__hash"]), "left_anti")
-    repeated = held.filter("stays").groupBy("root").count().filter("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    # a text belongs to one group, so (doc_id, row_hash) tells the rows of a group from all others
+    named = lambda rows: rows.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"))
+    at = lambda names: docs["doc_id"].eqNullSafe(names["__id"]) & (row_hash(docs["text"]) == names["__hash"])
+    gone = named(held.filter("not stays")).distinct()
+    kept = docs.join(gone, at(gone), "left_anti")
+    again, _ = stored(spark, named(held.filter("stays")).groupBy("__id", "__hash").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "simhash-again")
+    if again.isEmpty():
+        return kept
+    rows = docs.join(again, at(again)).withColumn("__all", F.xxhash64(*docs.columns))
+    least = rows.groupBy(F.col("__id").alias("__i"), F.col("__hash").alias("__h")).agg(F.min("__all").alias("__least"))
+    same = rows.join(least, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")) & (F.col("__all") == F.col("__least")))
+    return kept.join(again, at(again), "left_anti").unionByName(same.select(*docs.columns, "__id", "__hash").dropDuplicates(["__id", "__hash"]).select(*docs.columns))

@@ -123,6 +123,26 @@ def test_keep_one_without_ids_and_with_a_tied_id(spark):
     assert sorted((str(r.doc_id), r.text.lower()) for r in kept) == [("5", other), ("7", third), ("None", same)]
 
 
+def test_what_is_kept_of_a_group_does_not_hang_on_others(spark):
+    """Null ids with equal texts are one row, with or without a repeated row elsewhere; of rows with equal id and text the least by hash stays."""
+    same, other = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(None, same, "s"), (None, same, "s"), (3, other, "t"), (4, "c d e f g h i j k l", "t")]
+    for more in ([], [(4, "c d e f g h i j k l", "t")], [(4, "c d e f g h i j k l", "u"), (4, "c d e f g h i j k l", "t")]):
+        kept = [simhash.keep_one(docs_of(spark, (rows + more)[::step]).repartition(parts)).collect() for step, parts in ((1, 1), (-1, 3))]
+        assert sorted(map(str, kept[0])) == sorted(map(str, kept[1]))
+        assert sorted(str(r.doc_id) for r in kept[0]) == ["3", "4", "None"]
+
+
+def test_distance_table_discards(spark):
+    """Of all pairs few meet in a cell; of these the coordinates leave few, and every link."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fps = np.array([r.fp for r in simhash.fingerprints(docs).collect()], np.int64).view(np.uint64)
+    found = simhash.discarded(fps)
+    names = np.unique(fps)
+    close = sum(int((np.bitwise_count(names[i + 1 :] ^ names[i]) <= 2).sum()) for i in range(len(names)))
+    assert found["left"] >= found["linked"] >= close and found["met"] < found["pairs"] / 20
+
+
 def test_hot_group_of_copies(spark):
     docs = docs_of(spark, [(i, "the same text of some few words" if i % 3 == 0 else f"other text number {i} of many words", "s") for i in range(3000)])
     got = simhash.simhash_groups(docs).collect()
