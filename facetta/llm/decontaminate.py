@@ -8,9 +8,10 @@ bounds), and the words there are compared exactly.
 
 Defined cases: a null or empty text, of a document or an item, has no words, so it is never hit. Repeated
 rows get equal results, one row each. Items without an id are dropped, unless ``null_items``: then their windows
-hit like any other, and n_items and the item list have only items with an id. Items with the same id are one item. Ties in rarity go to the word
-that sorts first, then to its first place in the window. An empty benchmark hits nothing. Extra columns
-are ignored.
+hit like any other, and n_items and the item list have only items with an id. Items with the same id are one item.
+Ties in rarity go to the word that sorts first, then to its first place in the window. Very long texts are split
+whole, in memory of some times their size. An empty table gives an empty result, an empty benchmark hits nothing.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A gap before lower-casing.
 RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-#: Prefix words that may be broadcast; beyond, Spark shuffles both sides.
+#: Prefix windows, and words of the benchmark, that may be broadcast; beyond, both sides are shuffled.
 MOST_BROADCAST = 200_000
+#: Parts that the places of a word are dealt to in a shuffle, as one word may be a large share of all.
+SALTS = 16
 
 
 def parts(text: Column) -> Column:
@@ -45,14 +48,18 @@ def sized(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, null_items: bool = False) -> DataFrame:
-    """doc_id, h (row hash), s, e (first and last word position of an occurrence) and item."""
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, null_items: bool = False, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """doc_id, h (row hash), s, e (first and last word position of an occurrence) and item.
+
+    Up to ``most_broadcast`` windows the documents stay where they are. Beyond, words are shuffled with their document
+    and place, dealt in ``SALTS`` parts, and only documents with a candidate follow.
+    """
     spark = docs.sparkSession
     windows, _ = stored(spark, item_windows(benchmark, window, null_items), "benchmark-windows")
     vocabulary = windows.select(F.explode("w").alias("word")).distinct()
     texts = docs.select("doc_id", "text")
     each = texts.select(F.explode(parts(F.col("text"))).alias("word"))
-    counts = each.join(sized(vocabulary, MOST_BROADCAST), "word", "left_semi").groupBy("word").agg(F.count("*").alias("c"))
+    counts = each.join(sized(vocabulary, most_broadcast), "word", "left_semi").groupBy("word").agg(F.count("*").alias("c"))
     counts, _ = stored(spark, counts, "benchmark-words")
 
     spread = windows.select("w", "n", F.posexplode("w").alias("o", "word"))
@@ -62,21 +69,26 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, null_items: bo
     rarest, _ = stored(spark, rarest, "benchmark-prefixes")
     probes = rarest.select(F.col("word").alias("pw"), "o", "n", "w")
     split = texts.select("doc_id", row_hash(F.col("text")).alias("h"), parts(F.col("text")).alias("ws"))
-    if probes.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+    if probes.limit(most_broadcast + 1).count() <= most_broadcast:
         found = split.select("*", F.posexplode("ws").alias("i", "word")).join(F.broadcast(probes), F.col("word") == F.col("pw"))
-    else:  # words alone are shuffled; their documents join the candidates
-        places = split.select("doc_id", "h", F.posexplode("ws").alias("i", "word")).join(probes, F.col("word") == F.col("pw"))
-        own = split.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "ws").dropDuplicates(["__id", "__h"])
-        found = places.join(own, places.doc_id.eqNullSafe(own["__id"]) & (places.h == own["__h"]))
+    else:
+        salted = probes.withColumn("ps", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        places = split.select("doc_id", "h", F.size("ws").alias("all"), F.posexplode("ws").alias("i", "word")).withColumn("salt", F.pmod(F.xxhash64("h", "i"), F.lit(SALTS)).cast("int"))
+        met = places.join(salted, (F.col("word") == F.col("pw")) & (F.col("salt") == F.col("ps"))).filter("i >= o and i - o + n <= all")
+        met, _ = stored(spark, met.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "i", "o", "n", "w").distinct(), "benchmark-candidates")
+        wanted = met.select("__id", "__h").distinct()
+        same = lambda a: a["doc_id"].eqNullSafe(F.col("__id")) & (a["h"] == F.col("__h"))
+        own = split.join(wanted, same(split), "left_semi").dropDuplicates(["doc_id", "h"])
+        found = own.join(met, same(own))
     found = found.filter("i >= o and i - o + n <= size(ws)").filter("slice(ws, i - o + 1, n) = w")
     starts = found.select("doc_id", "h", F.expr("i - o").alias("s"), F.expr("i - o + n - 1").alias("e"), "w").distinct()
     return starts.join(windows.select("w", "item"), "w").select("doc_id", "h", "s", "e", "item")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, null_items: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, null_items: bool = False, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and row_hash of every document."""
     spark = docs.sparkSession
-    found, _ = stored(spark, hits(docs, benchmark, window, null_items), "benchmark-hits")
+    found, _ = stored(spark, hits(docs, benchmark, window, null_items, most_broadcast), "benchmark-hits")
     spans = found.groupBy("doc_id", "h", "s").agg(F.max("e").alias("e"))
     before = Window.partitionBy("doc_id", "h").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     fresh = spans.withColumn("last", F.coalesce(F.max("e").over(before), F.lit(-1)))

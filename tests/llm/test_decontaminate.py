@@ -27,13 +27,13 @@ def plain(rows, items, n=10):
             for i in range(len(ws) - size + 1):
                 if (w := tuple(ws[i : i + size])) in windows:
                     hit |= set(range(i, i + size))
-                    found |= windows[w]
+                    found |= windows[w] - {"None"}
         out.append((d, len(ws), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return collections.Counter(out)
 
 
-def run(docs, bench):
-    return collections.Counter(tuple(r)[:6] for r in decontaminate.contamination(docs, bench).collect())
+def run(docs, bench, **options):
+    return collections.Counter(tuple(r)[:6] for r in decontaminate.contamination(docs, bench, **options).collect())
 
 
 def test_matches_plain(spark):
@@ -48,6 +48,7 @@ def test_edges(spark, edge_docs, no_docs):
     bench = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, n int")
     rows = [(r.doc_id, r.text) for r in edge_docs.collect()]
     assert run(edge_docs, bench) == plain(rows, [i for i in items if i[0] is not None])
+    assert run(edge_docs, bench, null_items=True) == plain(rows, items) != run(edge_docs, bench)
     assert run(edge_docs, bench.limit(0)) == plain(rows, [])
     assert decontaminate.contamination(no_docs, bench).collect() == []
     kept = decontaminate.keep_clean(edge_docs, bench)
@@ -73,6 +74,16 @@ def test_overlaps_and_hot_passage(spark):
     assert run(docs, bench) == plain([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
 
 
+def test_the_shuffle_beyond_the_broadcast(spark, sf, edge_docs):
+    """The same rows where nothing may be broadcast: shared passages, a hot word, null ids, repeated rows."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = docs_of(spark, [(i % 90, f"{passage if i % 3 else ''} t{i % 90} the the the the the the the the the the the", "s") for i in range(100)])
+    bench = spark.createDataFrame([(1, passage), (2, " ".join(["the"] * 11)), (None, "no id")], "item_id long, text string")
+    tables = [(docs, bench), (edge_docs, bench), tuple(spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))]
+    for docs, bench in tables:
+        assert run(docs, bench, null_items=True, most_broadcast=0) == run(docs, bench, null_items=True)
+
+
 def test_no_python_on_the_main_path(spark, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     plan = decontaminate.contamination(docs, bench)._jdf.queryExecution().toString()
