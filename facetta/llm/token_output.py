@@ -5,15 +5,18 @@ most ``max_bits`` bits. Documents go to shards by ascending id; a shard is a run
 Each block stands alone: its payload, the bit offset of every ``every``-th id (checkpoints) and its documents.
 Reading decodes all checkpoints of a batch side by side with one lookup table.
 
-File format (a folder): ``codes`` (id, bits), ``blocks`` (shard, block, start in the shard, n_tokens, doc_ids,
-doc_tokens, checkpoints, payload, payload_crc32).
+File format (a folder): ``format`` (one row: version, every, end id, id bytes, vocabulary size and SHA-256 of the
+tokenizer's file), ``codes`` (id, bits), ``blocks`` (shard, block, start in the shard, n_tokens, doc_ids, doc_tokens,
+checkpoints, payload, payload_crc32). Readers take their parameters from the folder.
 
-Defined cases: a null or empty text is the end id alone. Repeated ids are documents of their own, in the order
-of their text's hash. A null doc_id comes first. An empty table writes no blocks. Extra columns are ignored.
+Defined cases: a null or empty text is the end id alone. Very long texts are encoded whole; a block is at least one
+document. Repeated ids are documents of their own, in the order of their text's hash; equal rows are dealt apart by
+their place in the encoded files. A null doc_id comes first. An empty table writes no blocks. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import zlib
@@ -31,6 +34,10 @@ END = 2
 BLOCK_TOKENS = 1 << 16
 EVERY = 256
 MAX_BITS = 18
+#: Blocks that a shard (one writer, one file) should have, and the most shards of a folder.
+SHARD_BLOCKS = 32
+MOST_SHARDS = 1 << 14
+VERSION = 1
 
 
 def default_tokenizer() -> str:
@@ -43,9 +50,16 @@ def default_tokenizer() -> str:
 PLAIN = re.compile(rb"((?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+)([.,;:!?|$%&*#]*)")
 
 
+#: What an encoder tries both ways before it trusts pieces.
+PROBE = "The quick Brown fox, don't JUMP!? Ünï cödé straße ÈAUX x×y a.b #tag $5.00 99 — 's A\u030A ab#$c  two\tthree\nfour (five) [six] <seven> I'll we've THNTBLE,| éé É"
+
+
 class PieceEncoder:
     """Encodes by pieces between ASCII white space, which no token of the vocabulary crosses, and remembers pieces.
 
+    That is right for vocabularies of lower-cased words with marked word ends; for a tokenizer that gives other ids
+    so for ``PROBE``, texts are encoded whole.
+
     Pieces of plain letters with signs behind are encoded by their lower-cased letters, which many pieces share.
     The memory stops growing at its bound, for composed pieces sooner than for letters; what comes later is encoded
     each time it is met.
@@ -61,6 +75,12 @@ class PieceEncoder:
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(n)])
         self.known: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {b"": b""}
+        self.whole = False
+        plain = np.array(self.tokenizer.encode(PROBE, add_special_tokens=False).ids, self.kind).tobytes()
+        try:
+            self.whole = self.encode(PROBE.encode(), b"") != plain or self.encode(PROBE.upper().encode(), b"") != np.array(self.tokenizer.encode(PROBE.upper(), add_special_tokens=False).ids, self.kind).tobytes()
+        except (ValueError, IndexError):
+            self.whole = True
 
     def of_pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Any pieces, encoded together; word numbers tell whose ids they are."""
@@ -113,6 +133,8 @@ class PieceEncoder:
     def encode_many(self, texts: list[bytes], end: bytes) -> list[bytes]:
         """The ids of each text and the end id; new pieces of about ``at_once`` bytes of text are learned together."""
         out: list[bytes] = []
+        if self.whole:
+            return [np.array(self.tokenizer.encode(t.decode("utf8"), add_special_tokens=False).ids, self.kind).tobytes() + end for t in texts]
         known, i = self.known.get, 0
         while i < len(texts):
             j, size = i, 0
@@ -285,9 +307,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end:
     spilled = new_path(spark, "tokens")
     encoded(docs, tokenizer, end).write.option("compression", "zstd").parquet(spilled)
     tokens = spark.read.parquet(spilled)
-    lengths = code_lengths(global_counts(tokens, kind, n_symbols), max_bits)
+    counts = global_counts(tokens, kind, n_symbols)
+    lengths = code_lengths(counts, max_bits)
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(s), int(lengths[s])) for s in used], "id int, bits int").coalesce(1).write.parquet(f"{path}/codes")
+    with open(tokenizer, "rb") as f:
+        facts = (VERSION, every, end, np.dtype(kind).itemsize, n_symbols, hashlib.sha256(f.read()).hexdigest())
+    spark.createDataFrame([facts], FORMAT).coalesce(1).write.parquet(f"{path}/format")
     shared = spark.sparkContext.broadcast(Code.of(lengths))
 
     def blocks(batches):
@@ -315,17 +341,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end:
         if held:
             yield flush()
 
-    placed = tokens.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    shards = min(MOST_SHARDS, max(1, -(-int(counts.sum()) // (SHARD_BLOCKS * block_tokens))))
+    order = ("doc_id", "h", "at")
+    placed = tokens.select("doc_id", "h", "ids", F.xxhash64("_metadata.file_name", "_metadata.row_index").alias("at")).repartitionByRange(shards, *order).sortWithinPartitions(*order)
     placed.select("doc_id", "ids").mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     remove(spark, spilled)
 
 
 NAMES = ["shard", "block", "start", "n_tokens", "doc_ids", "doc_tokens", "checkpoints", "payload", "payload_crc32"]
+FORMAT = "version int, every int, end_id int, id_bytes int, vocabulary int, tokenizer_sha256 string"
 BLOCKS = "shard int, block int, start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, checkpoints binary, payload binary, payload_crc32 long"
 
 
-def read_tokens(spark: SparkSession, path: str, keep_ids: bool = False, every: int = EVERY) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and the ids themselves if asked for."""
+    facts = spark.read.parquet(f"{path}/format").first()
+    if facts.version != VERSION:
+        raise ValueError(f"token files of version {facts.version}")
+    every = facts.every
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     codes = spark.read.parquet(f"{path}/codes").toArrow()
     lengths = np.zeros(int(max(codes["id"].to_pylist(), default=0)) + 1, np.uint8)

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from facetta.llm import token_output as T
+from tests.llm.conftest import docs_of
 
 _TOKENIZER = []
 
@@ -96,3 +97,32 @@ def test_blocks_and_shards(spark, sf, tmp_path):
     ids = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in T.read_tokens(spark, str(tmp_path / "t"), keep_ids=True).collect()}
     for r in docs.collect():
         assert ids[r.doc_id] == [*tokenizer().encode(r.text, add_special_tokens=False).ids, 2]
+
+
+def test_readers_take_parameters_from_the_folder(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    T.write_tokens(docs, str(tmp_path / "t"), every=32, end=7, block_tokens=2000)
+    facts = spark.read.parquet(str(tmp_path / "t/format")).first()
+    assert (facts.every, facts.end_id, facts.id_bytes) == (32, 7, 2)
+    for r in T.read_tokens(spark, str(tmp_path / "t"), keep_ids=True).collect():
+        assert np.frombuffer(r.ids, "<u4")[-1] == 7 and len(r.ids) == 4 * r.n_tokens
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, plain_ = T.PieceEncoder(path), Tokenizer.from_file(path)
+    assert other.whole and not T.encoder(T.default_tokenizer()).whole
+    for text in ("Two  spaces\nand Lines", "", "é x"):
+        assert np.frombuffer(other.encode(text.encode(), b""), other.kind).tolist() == plain_.encode(text, add_special_tokens=False).ids
+
+
+def test_a_repeated_row_is_dealt_to_many_shards(spark, tmp_path):
+    docs = docs_of(spark, [(1, "the same words again and again " * 20, "s")] * 300 + [(i, f"other text {i}", "s") for i in range(200)])
+    T.write_tokens(docs, str(tmp_path / "t"), block_tokens=500)
+    blocks = spark.read.parquet(str(tmp_path / "t/blocks"))
+    hot = blocks.filter("array_contains(doc_ids, 1L)").select("shard").distinct().count()
+    got = sorted((r.start, r.n_tokens) for r in T.read_tokens(spark, str(tmp_path / "t")).collect())
+    assert hot > 1 and len(got) == 500 and all(a[0] + a[1] == b[0] for a, b in zip(got, got[1:]))
