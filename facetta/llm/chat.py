@@ -11,8 +11,9 @@ the order of (conv_id, root, turn) are reply-ordered, as a reply always comes af
 
 Defined cases: a null or empty text is an empty message. A quote of nothing earlier stays unlinked; its lines go
 all the same. A message may link only to a smaller turn. Repeated rows are kept, each with the same result; rows
-that share conv_id and turn share their links. Null conv_id or turn never link and are their own root. Extra
-columns are ignored. A first message quoted by thousands is one row on its side of the join.
+that share conv_id and turn share their links. Null conv_id or turn never link and are their own root. Very long
+texts are split whole, in memory of some times their size. An empty table gives an empty result. Extra columns are
+ignored. A first message quoted by thousands is one row on its side of the join.
 """
 
 from __future__ import annotations
@@ -134,3 +135,16 @@ def linked_conversations(messages: DataFrame) -> DataFrame:
         "conv_id", "turn", "role", text.alias("text"), "reply_to", F.coalesce("root", "turn").alias("root"), count("n_passages"), count("n_linked"),
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), text, F.lit("\n<|end|>\n")).alias("rendered"),
     )
+
+
+def conversations(messages: DataFrame, span: int = 256) -> DataFrame:
+    """conv_id, root, part, n, messages (turn, reply_to, role, text in the order of replies) and rendered: a row for each thread.
+
+    A reply comes after what it replies to, so the order is that of (turn, role, text). A row holds the turns of one
+    run of ``span`` numbers: a long thread is several rows, numbered by part, and no task holds all of it.
+    """
+    linked = linked_conversations(messages)
+    one = F.struct("turn", "reply_to", "role", "text", "rendered")
+    found = linked.groupBy("conv_id", "root", F.floor(F.col("turn") / span).alias("part")).agg(F.array_sort(F.collect_list(one)).alias("all"))
+    kept = F.transform("all", lambda m: F.struct(m["turn"].alias("turn"), m["reply_to"].alias("reply_to"), m["role"].alias("role"), m["text"].alias("text")))
+    return found.select("conv_id", "root", "part", F.size("all").cast("long").alias("n"), kept.alias("messages"), F.array_join(F.col("all.rendered"), "").alias("rendered"))

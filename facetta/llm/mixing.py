@@ -12,14 +12,15 @@ every source gets exactly its slots.
 Sums and ranks that run over a whole source (or over all slots) go by chunks of about the square root of its
 rows: totals per chunk first, then the running sum over chunks, then inside the chunk. No task gathers a source.
 
-Defined cases: a null text has size 0, and a document of size 0 is taken 0 times. A null source is a source,
-last in order. Equal rows are told apart by a number given in hash order. An empty table, or one without words,
-gives targets of 0. Extra columns are ignored.
+Defined cases: a null text has size 0, and a document of size 0 is taken 0 times. Very long texts are counted whole.
+A null source is a source, last in order. Equal rows are told apart by a number given in hash order. An empty table,
+or one without words, gives targets of 0. Extra columns are ignored; ``mixed_texts`` keeps them. The sources are
+ranked by one task, a row each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetta.llm.common import WORD, row_hash, stored
@@ -52,10 +53,10 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0
     return per.select("source", "pos", "source_size", "n_docs", target.alias("target"))
 
 
-def document_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, h (row hash) and size of every row."""
+def document_sizes(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """doc_id, source, h (row hash), size and key of every row; key tells apart rows of equal id and text, if they differ."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), row_hash(F.col("text")).alias("h"), size.alias("size"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), row_hash(F.col("text")).alias("h"), size.alias("size"), (F.lit(0).cast("long") if key is None else key).alias("key"))
 
 
 def schedule(sizes: DataFrame, block: int = 64, seed: int = 7, **shares) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -65,6 +66,7 @@ def schedule(sizes: DataFrame, block: int = 64, seed: int = 7, **shares) -> tupl
     and end's place in the shuffled source. slots: slot, pos, rank in the source, block.
     """
     spark = sizes.sparkSession
+    sizes = sizes if "key" in sizes.columns else sizes.withColumn("key", F.lit(0).cast("long"))
     sources = source_targets(sizes, **shares)
     n_blocks = F.when(F.col("source_size") > 0, F.greatest(F.lit(1), F.round(F.col("source_size") / block))).otherwise(0).cast("long")
     most = float(shares.get("most", 2.0))
@@ -81,8 +83,8 @@ def schedule(sizes: DataFrame, block: int = 64, seed: int = 7, **shares) -> tupl
     totals = rows.groupBy("pos", "chunk").agg(F.sum("size").alias("t"))
     earlier = Window.partitionBy("pos").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals, _ = stored(spark, totals.select(F.col("pos").alias("tpos"), F.col("chunk").alias("tchunk"), F.coalesce(F.sum("t").over(Window.partitionBy("pos").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")), "mix-chunks")
-    inside = Window.partitionBy("pos", "chunk").orderBy("o", "doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, 0)
-    number = Window.partitionBy("pos", "chunk").orderBy("o", "doc_id", "h", "size")
+    inside = Window.partitionBy("pos", "chunk").orderBy("o", "doc_id", "h", "key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    number = Window.partitionBy("pos", "chunk").orderBy("o", "doc_id", "h", "key", "size")
     run = rows.withColumn("upto", F.sum("size").over(inside)).withColumn("nth", F.row_number().over(number))
     run = run.join(totals, (run.pos == totals.tpos) & (run.chunk == totals.tchunk)).drop("tpos", "tchunk")
     placed = run.withColumn("z", F.col("base") + F.col("upto")).withColumn("a", F.col("z") - F.col("size")).drop("base", "upto", "o")
@@ -141,17 +143,17 @@ def block_turn(seed: int):
     return F.pmod(F.pmod(F.col("block"), F.col("n_blocks")) * F.pmod(step, F.col("n_blocks")) + seed, F.col("n_blocks"))
 
 
-def mix(docs: DataFrame, block: int = 64, seed: int = 7, **shares) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, block: int = 64, seed: int = 7, key: Column | None = None, **shares) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sources, documents with their places, the mix).
 
     The mix has a row for each slot and part of a document in the slot's block: slot, rank, doc_id, h, nth, pos,
     chunk, size, w0, w1 and turn of the source's blocks.
     """
     spark = docs.sparkSession
-    sizes, _ = stored(spark, document_sizes(docs), "mix-sizes")
+    sizes, _ = stored(spark, document_sizes(docs, key), "mix-sizes")
     sources, placed, slots = schedule(sizes, block, seed, **shares)
     placed, _ = stored(spark, placed, "mix-documents")
-    parts = pieces(placed, seed).select("pos", "turn", "doc_id", "h", "nth", "chunk", "size", "block", "w0", "w1")
+    parts = pieces(placed, seed).select("pos", "turn", "doc_id", "h", "key", "nth", "chunk", "size", "block", "w0", "w1")
     mixed = slots.select("slot", "pos", "turn", "rank", "n_blocks").join(parts, ["pos", "turn"])
     return sources, placed, mixed
 
@@ -169,25 +171,26 @@ def mixed_texts(docs: DataFrame, block: int = 64, seed: int = 7, **shares) -> Da
     """The mix as documents with all their columns: whole copies, then one part for what a further pass takes.
 
     A part has the words that its pass takes, in order, joined by spaces; n_chars, where there is one, follows.
+    Rows that are equal in all columns are one text with a row of the mix for each: nothing gathers them.
     """
     spark = docs.sparkSession
-    _, _, mixed = mix(docs, block, seed, **shares)
-    passes = mixed.groupBy("doc_id", "h", "size", "pos", "chunk", "nth", F.expr("rank div n_blocks").alias("pass")).agg(
+    keyed = docs.withColumn("__key", F.xxhash64(*docs.columns))
+    _, placed, mixed = mix(docs, block, seed, F.xxhash64(*docs.columns), **shares)
+    passes = mixed.groupBy("doc_id", "key", "size", "pos", "chunk", "nth", F.expr("rank div n_blocks").alias("pass")).agg(
         F.sum(F.col("w1") - F.col("w0")).alias("n"), F.array_sort(F.collect_list(F.struct("w0", "w1"))).alias("spans")
     )
-    copies = passes.groupBy("doc_id", "h", "pos", "chunk", "nth").agg(
-        F.sum(F.expr("cast(n = size as int)")).alias("whole"), F.array_sort(F.collect_list(F.when(F.expr("n < size"), F.struct("pass", "spans")))).alias("parts")
+    copies = passes.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), "pos", "chunk", "nth").agg(
+        F.sum(F.expr("cast(n = size as int)")).alias("__whole"), F.array_sort(F.collect_list(F.when(F.expr("n < size"), F.struct("pass", "spans")))).alias("__parts")
     )
-    # equal rows have copies of their own: give each row of docs its number among its equals
-    shares_of = copies.groupBy("doc_id", "h").agg(F.collect_list(F.struct("whole", "parts")).alias("rows"))
-    shares_of, _ = stored(spark, shares_of.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("rows").alias("__rows"), F.size("rows").alias("__n")), "mix-copies")
-    joined = docs.join(shares_of, docs["doc_id"].eqNullSafe(shares_of["__id"]) & (row_hash(docs["text"]) == shares_of["__h"]))
-    one = joined.filter("__n = 1").withColumn("__row", F.expr("__rows[0]"))
-    equal = Window.partitionBy("doc_id", "__h").orderBy("doc_id")
-    several = joined.filter("__n > 1").withColumn("__row", F.element_at("__rows", F.row_number().over(equal)))
-    both = one if shares_of.filter("__n > 1").isEmpty() else one.unionByName(several)
+    copies = copies.select("__id", "__k", "__whole", "__parts")
+    same = lambda rows: rows["doc_id"].eqNullSafe(F.col("__id")) & (rows["__key"] == F.col("__k"))
+    again, _ = stored(spark, placed.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__k")).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "mix-again")
+    if not again.isEmpty():
+        once = keyed.join(again, same(keyed), "left_semi").dropDuplicates(["doc_id", "__key"])
+        keyed = keyed.join(again, same(keyed), "left_anti").unionByName(once)
+    both = keyed.join(copies, same(keyed))
     none = F.expr("cast(null as array<struct<w0:bigint,w1:bigint>>)")
-    both = both.withColumn("__spans", F.explode(F.concat(F.array_repeat(none, F.col("__row.whole").cast("int")), F.transform("__row.parts", lambda p: p["spans"]))))
+    both = both.withColumn("__spans", F.explode(F.concat(F.array_repeat(none, F.col("__whole").cast("int")), F.transform("__parts", lambda p: p["spans"]))))
     every = F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)
     part = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(F.col("__words"), (s["w0"] + 1).cast("int"), (s["w1"] - s["w0"]).cast("int")))), " ")
     both = both.withColumn("__words", F.when(F.col("__spans").isNotNull(), every)).withColumn("__text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(part))

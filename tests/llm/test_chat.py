@@ -105,6 +105,26 @@ def test_random_threads(spark):
     assert run(spark, rows) == plain(rows)
 
 
+def test_conversations_are_rows(spark):
+    frame = spark.createDataFrame([(*r, 0) for r in THREAD], "conv_id long, turn long, role string, text string, root int")
+    rows = chat.conversations(frame, span=4).collect()
+    want = {}
+    for c, t, text, reply, root, _, _ in plain(THREAD):
+        want.setdefault((c, root, None if t is None else t // 4), []).append((t, reply, text))
+    got = {(r.conv_id, r.root, r.part): [(m.turn, m.reply_to, m.text) for m in r.messages] for r in rows}
+    assert {k: sorted(v, key=str) for k, v in want.items()} == {k: sorted(v, key=str) for k, v in got.items()}
+    for r in rows:
+        assert [m.turn for m in r.messages] == sorted(m.turn for m in r.messages if m.turn is not None) or r.part is None
+        assert r.n == len(r.messages) and r.rendered.count("<|end|>") == r.n
+    assert chat.conversations(frame.limit(0)).collect() == []
+
+
+def test_very_long_texts(spark):
+    long = "\n".join(f"line {i} of a very long message" for i in range(20_000))
+    rows = [(1, 0, "user", long), (1, 1, "user", "> " + long.replace("\n", "\n> ") + "\nyes"), (1, 2, "user", "> line 19999 of a very long message\nno")]
+    assert run(spark, rows) == plain(rows) and [r[3] for r in run(spark, rows)] == [None, 0, 0]
+
+
 def test_empty_and_real(spark, sf):
     assert run(spark, []) == []
     table = spark.read.parquet(f"{sf}/conversations.parquet")

@@ -112,6 +112,28 @@ def test_mixed_texts_hold_what_is_taken(spark, edge_docs):
         assert got == +taken
 
 
+def test_repeated_rows_have_copies_of_their_own(spark):
+    """A third of the table is one row; rows of one id and text with other columns keep their own."""
+    hot = [(7, "the same seven words in every row", "a")] * 200
+    rest = [(i, f"document {i} of some words " * 3, "b") for i in range(100, 400)]
+    twins = [(8, "one text in two sources", "a"), (8, "one text in two sources", "b")]
+    docs = docs_of(spark, hot + rest + twins)
+    texts = {7: hot[0][1], 8: twins[0][1]} | {i: t for i, t, _ in rest}
+    taken = collections.Counter()
+    for r in mixing.mixed_texts(docs).collect():
+        words = WORD.findall(r.text)
+        assert r.text == texts[r.doc_id] or len(words) < len(WORD.findall(texts[r.doc_id]))
+        taken[r.doc_id, r.source] += len(words)
+    for (i, source), n in taken.items():
+        rows = sum(d == i and s == source for d, _, s in hot + rest + twins)
+        assert n <= 2 * rows * len(WORD.findall(texts[i]))
+    sizes = collections.Counter()
+    for i, t, s in hot + rest + twins:
+        sizes[s] += len(WORD.findall(t))
+    for s, target in plain_targets(dict(sizes)).items():
+        assert abs(sum(n for (_, source), n in taken.items() if source == s) - target) <= 130
+
+
 def test_no_python_on_the_main_path(spark, sf):
     plan = mixing.mixed_documents(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "InArrow" not in plan
