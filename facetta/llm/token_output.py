@@ -47,6 +47,7 @@ def default_tokenizer() -> str:
 
 
 #: A piece of letters that neither composition nor context can change, and signs that make a token run of their own.
+SIGNS = b".,;:!?|$%&*#"
 PLAIN = re.compile(rb"((?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+)([.,;:!?|$%&*#]*)")
 
 
@@ -108,12 +109,16 @@ class PieceEncoder:
         other, waiting, known, tails, found = [], [], self.known, self.tails, {}
         match = PLAIN.fullmatch
         for p in pieces:
-            m = match(p)
-            if m is None:
-                other.append(p)
-                continue
-            core, tail = m.groups()
-            core = core.lower() if core.isascii() else core.decode("utf8").lower().encode()
+            core = p.rstrip(SIGNS)
+            if core.isalpha():  # ASCII letters, most pieces
+                tail, core = p[len(core) :], core.lower()
+            else:
+                m = match(p)
+                if m is None:
+                    other.append(p)
+                    continue
+                core, tail = m.groups()
+                core = core.lower() if core.isascii() else core.decode("utf8").lower().encode()
             if tail not in tails:
                 tails |= self.of_pieces([tail])
             if core in known:
@@ -122,7 +127,7 @@ class PieceEncoder:
                 waiting.append((p, core, tail))
         fresh = self.of_cores(list({core for _, core, _ in waiting}))
         for p, core, tail in waiting:
-            found[p] = fresh[core] + tails[tail]
+            found[p] = fresh[core] + tails[tail] if tail else fresh[core]
         found |= self.of_pieces(other)
         if len(known) + len(fresh) <= self.most:
             known.update(fresh)
@@ -144,9 +149,10 @@ class PieceEncoder:
             missing: set[bytes] = set()
             group = []
             for text in texts[i:j]:
-                pieces = text.split()
+                # lower case gives the same ids, but for names of special tokens and letters before marks (U+0300 to U+037F)
+                pieces = (text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()).split()
                 ids = list(map(known, pieces))
-                gaps = [k for k, x in enumerate(ids) if x is None]
+                gaps = [k for k, x in enumerate(ids) if x is None] if None in ids else []
                 missing.update([pieces[k] for k in gaps])
                 group.append((ids, [(k, pieces[k]) for k in gaps]))
             late = self.learn(missing) if missing else {}
