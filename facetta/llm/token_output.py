@@ -108,9 +108,10 @@ class PieceEncoder:
     def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
         other, waiting, known, tails, found = [], [], self.known, self.tails, {}
         match = PLAIN.fullmatch
-        for p in pieces:
+        bare = {p for p in pieces if p.isalpha() and p.islower()}  # their own letters, and not known
+        for p in pieces - bare:
             core = p.rstrip(SIGNS)
-            if core.isalpha():  # ASCII letters, most pieces
+            if core.isalpha():  # ASCII letters
                 tail, core = p[len(core) :], core.lower()
             else:
                 m = match(p)
@@ -124,16 +125,17 @@ class PieceEncoder:
             if core in known:
                 found[p] = known[core] + tails[tail]
             else:
+                bare.add(core)
                 waiting.append((p, core, tail))
-        fresh = self.of_cores(list({core for _, core, _ in waiting}))
+        fresh = self.of_cores(list(bare))
         for p, core, tail in waiting:
-            found[p] = fresh[core] + tails[tail] if tail else fresh[core]
+            found[p] = fresh[core] + tails[tail]
         found |= self.of_pieces(other)
         if len(known) + len(fresh) <= self.most:
             known.update(fresh)
         if len(known) + len(found) <= self.most // 2:
             known.update(found)
-        return found
+        return fresh | found
 
     def encode_many(self, texts: list[bytes], end: bytes) -> list[bytes]:
         """The ids of each text and the end id; new pieces of about ``at_once`` bytes of text are learned together."""
