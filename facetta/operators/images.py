@@ -4,12 +4,19 @@ Four kinds, each a dict from a name to a function of one image: ENHANCE gives an
 TEXTS a text mask with boxes, FEATURES a vector; KEYPOINTS gives a row for each keypoint. A row is decoded, computed
 and released on its own, and results leave in small batches, so memory is bounded by one image and one input batch
 (``spark.sql.execution.arrow.maxRecordsPerBatch``). No operator shuffles. A null or empty image gives nulls.
+
+A function's keyword arguments are the parameters of the plug-in (``bound``). A parameter that only others of its kind
+have is left out with a warning, one that none has is an error.
 """
 
 from __future__ import annotations
 
+import inspect
 import math
+import warnings
+import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import product
 
 import numpy as np
@@ -17,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetta.functions import histograms as H
 from facetta.functions import kernels as K
 
 #: Rows of a result batch.
@@ -40,8 +48,24 @@ def remove_shadow(img: np.ndarray) -> np.ndarray:
     return _channels(img, one)
 
 
-def _if_noisy(f):
-    return lambda img: f(_channels(img, lambda x: K.median(x, 3)), img) if K.noise(img) > NOISY else img
+def _smoothed(img: np.ndarray) -> np.ndarray:
+    return _channels(img, lambda x: K.median(x, 3))
+
+
+def denoise_channels(img: np.ndarray, h: float = 3, template_window_size: int = 7, search_window_size: int = 21) -> np.ndarray:
+    """Non-local means of each channel of a noisy image; others stay."""
+    if K.noise(img) <= NOISY:
+        return img
+    return _channels(_smoothed(img), lambda x: K.non_local_means(x, h, template_window_size, search_window_size))
+
+
+def denoise_colored(img: np.ndarray, h: float = 10, template_window_size: int = 7, search_window_size: int = 21) -> np.ndarray:
+    """Non-local means of all channels together."""
+    return K.non_local_means(_smoothed(img), h, template_window_size, search_window_size) if K.noise(img) > NOISY else img
+
+
+def denoise_wavelets(img: np.ndarray) -> np.ndarray:
+    return _shrink(_smoothed(img), img) if K.noise(img) > NOISY else img
 
 
 def _shrink(img: np.ndarray, noisy: np.ndarray) -> np.ndarray:
@@ -57,16 +81,28 @@ def _shrink(img: np.ndarray, noisy: np.ndarray) -> np.ndarray:
 
 ENHANCE: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "shadow_remove_preprocessor": remove_shadow,
-    "channels_denoise_preprocessor": _if_noisy(lambda img, _: _channels(img, lambda x: K.non_local_means(x, 3))),
-    "colored_denoise_preprocessor": _if_noisy(lambda img, _: K.non_local_means(img, 10)),
-    "visushrink_noise_preprocessor": _if_noisy(_shrink),
+    "channels_denoise_preprocessor": denoise_channels,
+    "colored_denoise_preprocessor": denoise_colored,
+    "visushrink_noise_preprocessor": denoise_wavelets,
 }
 
 # ---- masks of paintings: (mask, boxes as x0 y0 x1 y1, corners, angles)
 
 
-def _channel(img: np.ndarray, i: int) -> np.ndarray:
-    return K.hsv(img if img.ndim == 3 else np.repeat(img[..., None], 3, axis=2))[..., i]
+#: Colour spaces of a mask's channel.
+SPACES: dict[str, Callable[[np.ndarray], np.ndarray]] = {"hsv": K.hsv, "lab": lambda x: K.byte(K.lab(x) + np.array([0, 128, 128])), "bgr": lambda x: x, "gray": lambda x: np.repeat(K.gray(x)[..., None], 3, axis=2)}
+#: What a row or column of the variance mask is measured by.
+MEASURES: dict[str, Callable] = {"std": np.std, "var": np.var}
+
+
+def _named(table: dict, kind: str, name: str):
+    if name not in table:
+        raise ValueError(f"unknown {kind} {name!r}; known: {', '.join(sorted(table))}")
+    return table[name]
+
+
+def _channel(img: np.ndarray, i: int, color_space: str = "hsv") -> np.ndarray:
+    return _named(SPACES, "color_space", color_space)(img if img.ndim == 3 else np.repeat(img[..., None], 3, axis=2))[..., i]
 
 
 def _repeat(k: int, n: int) -> int:
@@ -117,30 +153,30 @@ def _without_ground(on: np.ndarray) -> np.ndarray:
     return (labels != labels[0, 0]).astype(np.uint8)
 
 
-def paint_mask(img: np.ndarray, channel: int = 0):
-    x = _channel(img, channel)
+def paint_mask(img: np.ndarray, channel: int = 0, color_space: str = "hsv"):
+    x = _channel(img, channel, color_space)
     on = K.dilate((x > K.otsu(x)).astype(np.uint8), 12)
     return _boxes(K.closing(_without_ground(on), 24))
 
 
-def adaptive_paint_mask(img: np.ndarray, channel: int = 0):
-    x = K.mean(_channel(img, channel), 5)
+def adaptive_paint_mask(img: np.ndarray, channel: int = 0, color_space: str = "hsv"):
+    x = K.mean(_channel(img, channel, color_space), 5)
     edges = K.dilate(K.opening(1 - K.adaptive(x, 11, 2), 3), _repeat(3, 3))
     whole = K.closing(K.fill_holes(edges), _repeat(12, 12))
     return _boxes(K.opening(whole, _repeat(12, 2)), by="column")
 
 
-def laplacian_mask(img: np.ndarray):
+def laplacian_mask(img: np.ndarray, min_area: float = 0.05):
     x = K.gaussian(255 * K.normalize(_channel(img, 1)), 5)
     edges = np.abs(K.convolve(x, np.array([[-1, -1, -1], [-1, 8, -1], [-1, -1, -1]])))
     on = K.dilate((edges > K.mean(edges, 11) + 2).astype(np.uint8), 7)
     h, w = on.shape
     opened = K.opening(K.fill_holes(on), max(1, h // 100), max(1, w // 100))
     side = lambda r: (r["x1"] - r["x0"] + 1, r["y1"] - r["y0"] + 1)
-    return _quads(opened, lambda r: math.prod(side(r)) >= 0.05 * on.size and side(r)[0] >= 0.1 * w and side(r)[1] >= 0.1 * h)
+    return _quads(opened, lambda r: math.prod(side(r)) >= min_area * on.size and side(r)[0] >= 0.1 * w and side(r)[1] >= 0.1 * h)
 
 
-def hough_mask(img: np.ndarray, width: int = 1000, sigma: float = 0.3):
+def hough_mask(img: np.ndarray, width: int = 1000, sigma: float = 0.3, min_area: float = 0.05):
     x = _channel(img, 1)
     small = K.resize(x, width=width) if x.shape[1] > width else x
     x = K.gaussian(small, 7)
@@ -151,7 +187,7 @@ def hough_mask(img: np.ndarray, width: int = 1000, sigma: float = 0.3):
     for line in K.hough_lines(edges, max(10, min(h, w) // 5), max(8, min(h, w) // 8), max(2, min(h, w) // 50)):
         K.draw_line(lines, *line)
     whole = K.fill_holes(K.dilate(lines, 7))
-    return _back(_quads(K.opening(whole, max(1, h // 10), max(1, w // 10)), lambda r: r["area"] >= 0.05 * whole.size), img.shape[:2])
+    return _back(_quads(K.opening(whole, max(1, h // 10), max(1, w // 10)), lambda r: r["area"] >= min_area * whole.size), img.shape[:2])
 
 
 def _back(found, shape):
@@ -167,9 +203,9 @@ def _back(found, shape):
     return mask, boxes, corners, angles
 
 
-def fourier_mask(img: np.ndarray, channel: int = 1):
+def fourier_mask(img: np.ndarray, channel: int = 1, color_space: str = "hsv"):
     """The spectrum without the 3 x 3 block at the array's centre (its order is not shifted)."""
-    z = np.fft.fft2(_channel(img, channel).astype(float))
+    z = np.fft.fft2(_channel(img, channel, color_space).astype(float))
     r, c = z.shape[0] // 2, z.shape[1] // 2
     z[max(0, r - 1) : r + 2, max(0, c - 1) : c + 2] = 0
     x = K.mean(255 * K.normalize(np.abs(np.fft.ifft2(z))), 5)
@@ -178,44 +214,51 @@ def fourier_mask(img: np.ndarray, channel: int = 1):
     return _boxes(K.opening(K.fill_holes(edges), max(1, h // 10), max(1, w // 10)), by="column")
 
 
-def contour_mask(img: np.ndarray, lower: int = 150, upper: int = 100, k: int = 35):
+def contour_mask(img: np.ndarray, lower_threshold: int = 150, upper_threshold: int = 100, kernel_size: int = 35):
     edges = K.dilate(K.canny(K.gaussian(K.gray(img), 3), 10, 100), 3)
     labels, _ = K.components(K.fill_holes(edges))
-    good = [r["label"] for r in K.regions(edges) if lower**2 < r["area"] < edges.size - upper]
-    whole = K.dilate(K.erode(np.isin(labels, good).astype(np.uint8), _repeat(k, 2)), k)
+    good = [r["label"] for r in K.regions(edges) if lower_threshold**2 < r["area"] < edges.size - upper_threshold]
+    whole = K.dilate(K.erode(np.isin(labels, good).astype(np.uint8), _repeat(kernel_size, 2)), kernel_size)
     return _quads(whole, lambda r: True)
 
 
-def variance_mask(img: np.ndarray, channel: int = 0, tile: int | None = None, limit: float = 2.5):
-    x = _channel(img, channel).astype(float)
-    if tile:
-        h, w = x.shape
-        grid = lambda n: np.minimum(np.arange(n) // tile, max(n // tile - 1, 0))
-        cell = grid(h)[:, None] * (w + 1) + grid(w)[None, :]
-        names, of = np.unique(cell, return_inverse=True)
-        n, s, s2 = (np.bincount(of.ravel(), v) for v in (np.ones(x.size), x.ravel(), (x * x).ravel()))
-        std = np.sqrt(np.maximum(s2 / n - (s / n) ** 2, 0))
-        return _region_boxes((std[of.reshape(x.shape)] > limit).astype(np.uint8))
-    rows, cols = x.std(axis=1).astype(np.uint8), x.std(axis=0).astype(np.uint8)
+def variance_mask(img: np.ndarray, channel: int = 0, color_space: str = "hsv", metric: str = "std", fill_holes: bool = True):
+    """Rows and columns that vary more than Otsu's threshold of all of them."""
+    x, measure = _channel(img, channel, color_space).astype(float), _named(MEASURES, "metric", metric)
+    rows, cols = (np.minimum(measure(x, axis=a), 255).astype(np.uint8) for a in (1, 0))
     t = K.otsu(np.concatenate([rows, cols]))
-    return _region_boxes(K.fill((rows[:, None] > t) & (cols[None, :] > t)))
+    on = (rows[:, None] > t) & (cols[None, :] > t)
+    return _region_boxes(K.fill(on) if fill_holes else on)
 
 
-def combined_mask(img: np.ndarray):
-    a, b = variance_mask(img)[0], variance_mask(img, tile=5, limit=5)[0]
-    return _region_boxes(K.fill(a & b, 7))
+def local_variance_mask(img: np.ndarray, channel: int = 0, kernel_size: int = 10, thr_global: float = 2.5):
+    """Tiles whose deviation is above the threshold; the last tile of a side takes the rest."""
+    x = _channel(img, channel).astype(float)
+    h, w = x.shape
+    grid = lambda n: np.minimum(np.arange(n) // kernel_size, max(n // kernel_size - 1, 0))
+    cell = grid(h)[:, None] * (w + 1) + grid(w)[None, :]
+    _, of = np.unique(cell, return_inverse=True)
+    n, s, s2 = (np.bincount(of.ravel(), v) for v in (np.ones(x.size), x.ravel(), (x * x).ravel()))
+    std = np.sqrt(np.maximum(s2 / n - (s / n) ** 2, 0))
+    return _region_boxes((std[of.reshape(x.shape)] > thr_global).astype(np.uint8))
 
 
-def mean_variance_mask(img: np.ndarray, channel: int = 0):
-    x = _channel(img, channel).astype(float)
+def combined_mask(img: np.ndarray, channel: int = 0, kernel_size: int = 5, thr_local: float = 5, fill_holes: bool = True):
+    a = variance_mask(img, channel, fill_holes=fill_holes)[0]
+    b = local_variance_mask(img, channel, kernel_size, thr_local)[0]
+    return _region_boxes(K.fill(a & b, 7) if fill_holes else a & b)
+
+
+def mean_variance_mask(img: np.ndarray, channel: int = 0, color_space: str = "hsv", fill_holes: bool = True):
+    x = _channel(img, channel, color_space).astype(float)
     far = [np.abs(x - x.mean(axis=a, keepdims=True)) > x.std(axis=a, keepdims=True) for a in (0, 1)]
-    return _region_boxes(K.fill(far[0] & far[1]))
+    return _region_boxes(K.fill(far[0] & far[1]) if fill_holes else far[0] & far[1])
 
 
-def border_mask(img: np.ndarray, channel: int = 0):
-    x = _channel(img, channel).astype(float)
+def border_mask(img: np.ndarray, channel: int = 0, color_space: str = "hsv", fill_holes: bool = True):
+    x = _channel(img, channel, color_space).astype(float)
     ground = np.mean([x[0].mean(), x[-1].mean(), x[:, 0].mean(), x[:, -1].mean()])
-    return _region_boxes(K.fill(x > ground))
+    return _region_boxes(K.fill(x > ground) if fill_holes else x > ground)
 
 
 def _region_boxes(mask: np.ndarray):
@@ -225,7 +268,7 @@ def _region_boxes(mask: np.ndarray):
 
 MASKS = {
     "variance_mask_preprocessor": variance_mask,
-    "local_variance_mask_preprocessor": lambda img: variance_mask(img, tile=10),
+    "local_variance_mask_preprocessor": local_variance_mask,
     "combined_mask_preprocessor": combined_mask,
     "meanvariance_mask_preprocessor": mean_variance_mask,
     "meanvarianceiter_mask_preprocessor": border_mask,
@@ -316,12 +359,12 @@ def _scaled(shape, small, boxes):
     return shape, [(int(a * f), int(b * f), min(int((c + 1) * f), shape[1]) - 1, min(int((d + 1) * f), shape[0]) - 1) for a, b, c, d in boxes]
 
 
-def flat_text(img: np.ndarray, blur: int = 5, k: int = 10, rx: int = 60, ry: int = 4):
+def flat_text(img: np.ndarray, blur_size: int = 5, kernel_size: int = 10, kernel_reduction_x: int = 60, kernel_reduction_y: int = 4):
     """The unsaturated bar whose centre is nearest the middle of the width."""
-    x = K.opening(K.gaussian(_channel(img, 1), blur), k)
+    x = K.opening(K.gaussian(_channel(img, 1), blur_size), kernel_size)
     on = (x <= 35).astype(np.uint8)
     h, w = on.shape
-    bar = (max(1, h // rx), max(1, w // ry))
+    bar = (max(1, h // kernel_reduction_x), max(1, w // kernel_reduction_y))
     kept = K.opening(on, *bar)
     found = K.regions(kept if kept.any() else K.closing(on, *bar))
     if not found:
@@ -343,33 +386,33 @@ def laplacian_text(img: np.ndarray):
     return _box_mask(x.shape, boxes)[0], boxes[:1]
 
 
-def level_text(img: np.ndarray, width: int = 800, low: float = 0.01, high: float = 0.15):
+def level_text(img: np.ndarray, width: int = 800, min_area: float = 0.01, max_area: float = 0.15):
     """Bands of every second gray level."""
     x = K.gray(img)
     small = K.gaussian(K.resize(x, width=width) if x.shape[1] > width else x, 5)
     boxes = []
     for level, reach in product(range(0, 256, 2), (5, 10)):
         band = (np.abs(small - level) <= reach).astype(np.uint8)
-        if band.mean() >= low:
-            boxes += [b for b in _text_like(K.opening(K.closing(band, 13), 13), low, high) if b not in boxes]
+        if band.mean() >= min_area:
+            boxes += [b for b in _text_like(K.opening(K.closing(band, 13), 13), min_area, max_area) if b not in boxes]
     return _box_mask(*_scaled(x.shape, small.shape, boxes))
 
 
-def contrast_text(img: np.ndarray):
+def contrast_text(img: np.ndarray, min_area: float = 0.01, max_area: float = 0.4):
     """Thresholds from both sides of the difference between channels; all boxes are given, the first is masked."""
     c = img.astype(int) if img.ndim == 3 else np.repeat(img[..., None], 3, axis=2).astype(int)
     x = 255 * K.normalize(K.opening(c.max(axis=2) - c.min(axis=2), 7))
     boxes = []
     for t, above in product(np.linspace(20, 230, 10), (True, False)):
-        boxes += [b for b in _text_like(K.closing(((x > t) == above).astype(np.uint8), 13), 0.01, 0.4, full=0) if b not in boxes]
+        boxes += [b for b in _text_like(K.closing(((x > t) == above).astype(np.uint8), 13), min_area, max_area, full=0) if b not in boxes]
     return _box_mask(x.shape, boxes[:1])[0], boxes
 
 
-def corner_text(img: np.ndarray, blur: int = 10, k: int = 5, block: int = 10, smallest: int = 3000):
+def corner_text(img: np.ndarray, blur_size: int = 10, k_size: int = 5, block_size: int = 10, min_area: float = 3000):
     """The union of the boxes where corners lie dense."""
-    r = 255 * K.normalize(K.mean(np.abs(K.harris(K.gray(img).astype(float), block, 0.0)), blur))
-    on = K.erode(1 - K.adaptive(255 - r, 21, 10), k)
-    found = [q for q in K.regions(K.dilate(on, k)) if q["area"] >= smallest and q["x1"] - q["x0"] + 1 >= 2.5 * (q["y1"] - q["y0"] + 1)]
+    r = 255 * K.normalize(K.mean(np.abs(K.harris(K.gray(img).astype(float), block_size, 0.0)), blur_size))
+    on = K.erode(1 - K.adaptive(255 - r, 21, 10), k_size)
+    found = [q for q in K.regions(K.dilate(on, k_size)) if q["area"] >= min_area and q["x1"] - q["x0"] + 1 >= 2.5 * (q["y1"] - q["y0"] + 1)]
     box = [(min(q["x0"] for q in found), min(q["y0"] for q in found), max(q["x1"] for q in found), max(q["y1"] for q in found))] if found else []
     return _box_mask(r.shape, box)
 
@@ -387,12 +430,66 @@ TEXTS = {
 # ---- features
 
 
-def gray_vector(img: np.ndarray, side: int = 128) -> np.ndarray:
-    return K.normalize(K.stretch(K.gray(img), side, side)).ravel()
+def gray_vector(img: np.ndarray, color_space: str = "gray", channel: int = 1, side: int = 128) -> np.ndarray:
+    return K.normalize(_channel(K.stretch(img, side, side), channel, color_space)).ravel()
+
+
+def hog(img: np.ndarray, img_shape: int = 240, cell_size: int = 8, n_bins: int = 180) -> np.ndarray:
+    return K.hog(img, img_shape, cell_size, 2, n_bins)
+
+
+def zernike(img: np.ndarray, radius: float = 100, degree: int = 4, channel: int = 1) -> np.ndarray:
+    return K.zernike(img if img.ndim == 2 else np.ascontiguousarray(img[..., channel]), radius, degree)
+
+
+def lbp(img: np.ndarray, points: int = 24, radius: float = 3.0) -> np.ndarray:
+    return K.lbp(img, points, radius)
+
+
+def dct(img: np.ndarray, num_coeff: int = 4) -> np.ndarray:
+    return K.dct(img, num_coeff)
+
+
+def dwt(img: np.ndarray, level: int = 3, n_coefs: int = 7) -> np.ndarray:
+    return K.dwt_histogram(img, level, n_coefs)
+
+
+def random_vector(img: np.ndarray, n: int = 10, seed: int = 1) -> np.ndarray:
+    """A uniform baseline that depends on the image and the seed alone."""
+    return np.random.default_rng([seed, zlib.crc32(np.ascontiguousarray(img).tobytes())]).random(n)
+
+
+def sift(img: np.ndarray, n_keypoints: int | None = None, max_size: int = 424) -> np.ndarray:
+    return K.gradient_descriptors(img, n_keypoints, max_size)
+
+
+def orb(img: np.ndarray, n_keypoints: int | None = 5000, max_size: int = 256) -> np.ndarray:
+    return K.binary_descriptors(img, n_keypoints, max_size)
+
+
+FEATURES = {"grayscale_extractor": gray_vector, "HOG_extractor": hog, "zernike_extractor": zernike, "lbp_extractor": lbp, "dct_extractor": dct, "dwt_extractor": dwt, "random_features_extractor": random_vector, **H.HISTOGRAMS}
+KEYPOINTS = {"sift_features_extractor": sift, "orb_features_extractor": orb}
+
+#: Parameters that plug-ins of a kind are given and that have no effect in any.
+UNUSED = {"n_threads", "win_size", "block_size", "block_stride", "ksize_harris", "bins", "mask", "wavelet", "convert2ycbcr", "mode", "rescale_sigma", "thr_global", "metric"}
+
+
+def parameters(f: Callable) -> list[str]:
+    return [p.name for p in list(inspect.signature(f).parameters.values())[1:]]
+
 
+def bound(table: dict[str, Callable], name: str, options: dict | None = None) -> Callable:
+    """A plug-in with its parameters."""
+    f = _named(table, "plug-in", name)
+    own = set(parameters(f))
+    others = {p for kind in (ENHANCE, MASKS, TEXTS, FEATURES, KEYPOINTS) for g in kind.values() for p in parameters(g)} | UNUSED
+    wrong, idle = set(options or {}) - own - others, (set(options or {}) - own) & others
+    if wrong:
+        raise ValueError(f"unknown parameters {sorted(wrong)} of {name!r}; known: {', '.join(sorted(own))}")
+    if idle:
+        warnings.warn(f"{name} has no use for {sorted(idle)}", stacklevel=2)
+    return partial(f, **{k: v for k, v in (options or {}).items() if k in own})
 
-FEATURES = {"grayscale_extractor": gray_vector, "HOG_extractor": K.hog, "zernike_extractor": K.zernike, "lbp_extractor": K.lbp, "dct_extractor": K.dct, "dwt_extractor": K.dwt_histogram}
-KEYPOINTS = {"sift_features_extractor": K.gradient_descriptors, "orb_features_extractor": K.binary_descriptors}
 
 # ---- DataFrames
 
@@ -405,7 +502,7 @@ def decode(height: int, width: int, channels: int, data: bytes) -> np.ndarray |
     return x[..., 0] if channels == 1 else x[..., :3]
 
 
-def _over(images: DataFrame, key: str, one: Callable, schema: str, image: str = "image") -> DataFrame:
+def over(images: DataFrame, key: str, one: Callable, schema: str, image: str = "image") -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -430,18 +527,18 @@ def _bytes(img: np.ndarray | None):
     return img.shape[0], img.shape[1], 1 if img.ndim == 2 else img.shape[2], np.ascontiguousarray(img).tobytes()
 
 
-def enhance(images: DataFrame, name: str, key: str = "sample_id", image: str = "image") -> DataFrame:
+def enhance(images: DataFrame, name: str, key: str = "sample_id", image: str = "image", options: dict | None = None) -> DataFrame:
     """key and image, the enhanced image struct."""
-    f = ENHANCE[name]
-    flat = _over(images, key, lambda img: [_bytes(None if img is None else f(img))], f"{key} long, height int, width int, channels int, data binary", image)
+    f = bound(ENHANCE, name, options)
+    flat = over(images, key, lambda img: [_bytes(None if img is None else f(img))], f"{key} long, height int, width int, channels int, data binary", image)
     mode = F.when(F.col("channels") == 1, 0).otherwise(16)
     made = F.struct(F.lit("").alias("origin"), "height", "width", F.col("channels").alias("nChannels"), mode.alias("mode"), "data").cast(IMAGE)
     return flat.select(key, F.when(F.col("data").isNotNull(), made).alias("image"))
 
 
-def masks(images: DataFrame, name: str, key: str = "sample_id", image: str = "image") -> DataFrame:
+def masks(images: DataFrame, name: str, key: str = "sample_id", image: str = "image", options: dict | None = None) -> DataFrame:
     """key, height, width, mask (a byte for each pixel, 0 or 1), boxes, corners and angles."""
-    f = MASKS[name]
+    f = bound(MASKS, name, options)
 
     def one(img):
         if img is None:
@@ -449,12 +546,12 @@ def masks(images: DataFrame, name: str, key: str = "sample_id", image: str = "im
         mask, boxes, corners, angles = f(img)
         return [(*mask.shape, mask.astype(np.uint8).tobytes(), [list(map(int, b)) for b in boxes], [[list(map(float, p)) for p in c] for c in corners], list(map(float, angles)))]
 
-    return _over(images, key, one, f"{key} long, height int, width int, mask binary, boxes array<array<int>>, corners array<array<array<double>>>, angles array<double>", image)
+    return over(images, key, one, f"{key} long, height int, width int, mask binary, boxes array<array<int>>, corners array<array<array<double>>>, angles array<double>", image)
 
 
-def text_boxes(images: DataFrame, name: str, key: str = "sample_id", image: str = "image", ocr: Callable[[np.ndarray], str] | None = None) -> DataFrame:
+def text_boxes(images: DataFrame, name: str, key: str = "sample_id", image: str = "image", ocr: Callable[[np.ndarray], str] | None = None, options: dict | None = None) -> DataFrame:
     """key, height, width, text_mask, boxes and texts; texts are null without an ``ocr`` function of a cropped image."""
-    f = TEXTS[name]
+    f = bound(TEXTS, name, options)
 
     def one(img):
         if img is None:
@@ -463,7 +560,7 @@ def text_boxes(images: DataFrame, name: str, key: str = "sample_id", image: str
         texts = None if ocr is None else [ocr(img[b : d + 1, a : c + 1]) for a, b, c, d in boxes]
         return [(*mask.shape, mask.astype(np.uint8).tobytes(), [list(map(int, b)) for b in boxes], texts)]
 
-    return _over(images, key, one, f"{key} long, height int, width int, text_mask binary, boxes array<array<int>>, texts array<string>", image)
+    return over(images, key, one, f"{key} long, height int, width int, text_mask binary, boxes array<array<int>>, texts array<string>", image)
 
 
 def mask_regions(masks_: DataFrame, key: str = "sample_id", image: str = "image") -> DataFrame:
@@ -475,12 +572,12 @@ def mask_regions(masks_: DataFrame, key: str = "sample_id", image: str = "image"
         on = (img if img.ndim == 2 else img.max(axis=2)) > 0
         return [(sorted([int(r[k]) for k in ("x0", "y0", "x1", "y1")] for r in K.regions(on.astype(np.uint8))),)]
 
-    return _over(masks_, key, one, f"{key} long, boxes array<array<int>>", image)
+    return over(masks_, key, one, f"{key} long, boxes array<array<int>>", image)
 
 
-def without_text(images: DataFrame, name: str, ocr: Callable[[np.ndarray], str] | None = None, key: str = "sample_id", image: str = "image") -> DataFrame:
+def without_text(images: DataFrame, name: str, ocr: Callable[[np.ndarray], str] | None = None, key: str = "sample_id", image: str = "image", options: dict | None = None) -> DataFrame:
     """key, image with the detected text in black, and texts (null without ``ocr``)."""
-    f = TEXTS[name]
+    f = bound(TEXTS, name, options)
 
     def one(img):
         if img is None:
@@ -490,21 +587,21 @@ def without_text(images: DataFrame, name: str, ocr: Callable[[np.ndarray], str]
         off = (mask == 0) if img.ndim == 2 else (mask == 0)[..., None]
         return [(*_bytes((img * off).astype(np.uint8)), texts)]
 
-    flat = _over(images, key, one, f"{key} long, height int, width int, channels int, data binary, texts array<string>", image)
+    flat = over(images, key, one, f"{key} long, height int, width int, channels int, data binary, texts array<string>", image)
     made = F.struct(F.lit("").alias("origin"), "height", "width", F.col("channels").alias("nChannels"), F.when(F.col("channels") == 1, 0).otherwise(16).alias("mode"), "data").cast(IMAGE)
     return flat.select(key, F.when(F.col("data").isNotNull(), made).alias("image"), "texts")
 
 
-def features(images: DataFrame, name: str, key: str = "sample_id", image: str = "image") -> DataFrame:
+def features(images: DataFrame, name: str, key: str = "sample_id", image: str = "image", options: dict | None = None) -> DataFrame:
     """key and vector."""
-    f = FEATURES[name]
-    return _over(images, key, lambda img: [(None if img is None else np.asarray(f(img), float).tolist(),)], f"{key} long, vector array<double>", image)
+    f = bound(FEATURES, name, options)
+    return over(images, key, lambda img: [(None if img is None else np.asarray(f(img), float).tolist(),)], f"{key} long, vector array<double>", image)
 
 
-def keypoints(images: DataFrame, name: str, key: str = "sample_id", image: str = "image") -> DataFrame:
+def keypoints(images: DataFrame, name: str, key: str = "sample_id", image: str = "image", options: dict | None = None) -> DataFrame:
     """key, kp and descriptor (bits as words of 64 for the binary kind); none for a null image."""
-    f, kind = KEYPOINTS[name], "long" if name.startswith("orb") else "double"
-    return _over(images, key, lambda img: [] if img is None else [(i, d.tolist()) for i, d in enumerate(f(img))], f"{key} long, kp int, descriptor array<{kind}>", image)
+    f, kind = bound(KEYPOINTS, name, options), "long" if name.startswith("orb") else "double"
+    return over(images, key, lambda img: [] if img is None else [(i, d.tolist()) for i, d in enumerate(f(img))], f"{key} long, kp int, descriptor array<{kind}>", image)
 
 
 def crops(images: DataFrame, boxes: DataFrame, key: str = "sample_id") -> DataFrame:

@@ -17,4 +17,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: templates.oracle(name) for name in templates.PLANS} | retrieval.ORACLES | texts.ORACLES | frames.ORACLES
+    return {name: templates.oracle(name) for name in templates.PLANS} | retrieval.ORACLES | texts.ORACLES | frames.ORACLES | images.ORACLES

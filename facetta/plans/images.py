@@ -11,7 +11,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetta.functions import histograms as H
+from facetta.operators import codebook as B
 from facetta.operators import images as I
+from facetta.plans import templates
 
 CELL = 8
 
@@ -55,6 +58,23 @@ def _feature(name: str):
     return query
 
 
+def _histogram(name: str):
+    """The entries of a histogram descriptor that are not zero, by place."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = I.features(_spread(grids(spark, sf_dir)), name).select("sample_id", F.posexplode("vector").alias("i", "x"))
+        return rows.where("x <> 0").select("sample_id", "i", F.round("x", DIGITS.get(name, 6)).alias("x"))
+
+    return query
+
+
+def codebook_words(spark: SparkSession, sf_dir: str, num_words: int = 32) -> DataFrame:
+    """Every image by the words of a codebook fitted to all of them: the number of words that it has, and its commonest."""
+    images = _spread(grids(spark, sf_dir))
+    found = B.tokenize(images, B.fit(images, k_size=16, sample=32, channel=2, num_words=num_words))
+    return found.select("sample_id", F.size(F.filter("vector", lambda x: x > 0)).alias("n"), F.array_position("vector", F.lit(1.0)).alias("top"))
+
+
 def _keypoints(name: str):
     return lambda spark, sf_dir: I.keypoints(_spread(grids(spark, sf_dir)), name).groupBy("sample_id").agg(F.count("*").alias("n"), F.max(F.size("descriptor")).alias("width"))
 
@@ -109,7 +129,48 @@ QUERIES = (
     {f"enhance_{_short(n)}": _enhanced(n) for n in I.ENHANCE}
     | {f"image_{_short(n)}": _masked(n) for n in I.MASKS}
     | {f"image_{n}": _text(n) for n in I.TEXTS}
-    | {f"feature_{_short(n)}": _feature(n) for n in I.FEATURES}
+    | {f"feature_{_short(n)}": _feature(n) for n in I.FEATURES if n not in H.HISTOGRAMS}
+    | {f"feature_{_short(n)}": _histogram(n) for n in H.HISTOGRAMS}
     | {f"keypoints_{_short(n)}": _keypoints(n) for n in I.KEYPOINTS}
-    | {"pca_projection": pca_projection, "gmm_density": gmm_density, "visual_codebook": visual_codebook, "random_features": random_features}
+    | {"pca_projection": pca_projection, "gmm_density": gmm_density, "visual_codebook": visual_codebook, "codebook_words": codebook_words, "random_features": random_features}
 )
+
+#: Places of the rounded values, 6 unless given.
+DIGITS = {"hist_moments_extractor": 4}
+
+# Oracles of the histogram descriptors: the 64 x 64 pixels of every grid, their hue, saturation and value, and L*a*b*.
+_LINEAR = lambda x: f"(CASE WHEN {x} / 255 > 0.04045 THEN pow(({x} / 255 + CAST(0.055 AS DOUBLE)) / 1.055, 2.4) ELSE {x} / 255 / 12.92 END)"
+_ROOT = lambda t: f"(CASE WHEN {t} > 0.008856 THEN cbrt({t}) ELSE CAST(7.787 AS DOUBLE) * {t} + CAST(16 AS DOUBLE) / 116 END)"
+_PIXELS = f"""WITH cell AS (SELECT vec_id, r, c, CAST(v % 256 AS DOUBLE) AS b, CAST((v + 85) % 256 AS DOUBLE) AS g, CAST((v + 170) % 256 AS DOUBLE) AS q FROM {templates.spelled('{px}', templates.DUCK, {})}),
+ turned AS (SELECT *, greatest(b, g, q) AS val, greatest(b, g, q) - least(b, g, q) AS d, {_LINEAR('b')} AS lr, {_LINEAR('g')} AS lg, {_LINEAR('q')} AS lb FROM cell),
+ angled AS (SELECT *, CASE WHEN d = 0 THEN 0 WHEN val = q THEN 60 * (g - b) / d WHEN val = g THEN 120 + 60 * (b - q) / d ELSE 240 + 60 * (q - g) / d END AS turn,
+   (CAST(0.412453 AS DOUBLE) * lr + CAST(0.357580 AS DOUBLE) * lg + CAST(0.180423 AS DOUBLE) * lb) / 0.95047 AS tx, CAST(0.212671 AS DOUBLE) * lr + CAST(0.715160 AS DOUBLE) * lg + CAST(0.072169 AS DOUBLE) * lb AS ty, (CAST(0.019334 AS DOUBLE) * lr + CAST(0.119193 AS DOUBLE) * lg + CAST(0.950227 AS DOUBLE) * lb) / 1.08883 AS tz FROM turned),
+ whole AS (SELECT vec_id, r, c, b, g, q, val, CASE WHEN val > 0 THEN round_even(255 * d / val, 0) ELSE 0 END AS sat, CAST(round_even((CASE WHEN turn < 0 THEN turn + 360 ELSE turn END) / 2, 0) AS BIGINT) % 180 AS hue,
+   116 * {_ROOT('ty')} - 16 AS l0, 500 * ({_ROOT('tx')} - {_ROOT('ty')}) AS l1, 200 * ({_ROOT('ty')} - {_ROOT('tz')}) AS l2 FROM angled),
+ pix AS (SELECT w.*, r * 8 + dy AS y, c * 8 + dx AS x FROM whole w, (SELECT unnest(range(8)) AS dy) a, (SELECT unnest(range(8)) AS dx) e)"""
+
+
+def _binned(source: str, keys: str, bins: int) -> str:
+    """keys, bin and n of a relation (keys, v): equal bins between the extremes, the last closed, the middle one for flat values."""
+    bin_ = f"CASE WHEN hi > lo THEN least(CAST(floor((v - lo) * {bins} / (hi - lo)) AS INT), {bins - 1}) ELSE {bins // 2} END"
+    return f"(SELECT {keys}, {bin_} AS bin, CAST(count(*) AS DOUBLE) AS n FROM (SELECT *, min(v) OVER (PARTITION BY {keys}) AS lo, max(v) OVER (PARTITION BY {keys}) AS hi FROM {source}) GROUP BY ALL)"
+
+
+_HUES = _binned("(SELECT vec_id, CAST(hue AS DOUBLE) AS v FROM pix)", "vec_id", 256)
+_PLANES = "(SELECT vec_id, unnest([0, 1, 2]) AS ch, unnest([l0, l1, l2]) AS v FROM pix)"
+_LEVELS = "(SELECT vec_id, lvl, ch, CAST(floor(y / (64 // lvl)) AS INT) AS i, CAST(floor(x / (64 // lvl)) AS INT) AS j, v FROM (SELECT *, unnest([0, 1, 2]) AS ch, unnest([l0, l1, l2]) AS v FROM (SELECT *, unnest([1, 2, 3, 4]) AS lvl FROM pix)) WHERE y < (64 // lvl) * lvl AND x < (64 // lvl) * lvl)"
+_out = lambda inner, digits=6: f"{_PIXELS} SELECT vec_id AS sample_id, CAST(i AS INT) AS i, round(x, {digits}) AS x FROM ({inner}) WHERE x <> 0"
+ORACLES = {
+    "feature_hist_grayscale": _out("SELECT vec_id, v - 1 AS i, n / max(n) OVER (PARTITION BY vec_id) AS x FROM (SELECT vec_id, CAST(floor((b + g + q) / 3) AS INT) AS v, CAST(count(*) AS DOUBLE) AS n FROM pix GROUP BY ALL) QUALIFY v > 0"),
+    "feature_hist_rgb_concat": _out("SELECT vec_id, ch * 255 + v - 1 AS i, n / (sum(n) OVER (PARTITION BY vec_id) + 765e-8) AS x FROM (SELECT vec_id, ch, v, CAST(count(*) AS DOUBLE) AS n FROM (SELECT vec_id, unnest([0, 1, 2]) AS ch, unnest([b, g, q]) AS v FROM pix) WHERE v > 0 GROUP BY ALL)"),
+    "feature_hist_moments": _out(f"""SELECT vec_id, (ch // 2) * 6 + ch % 2 + unnest([0, 2, 4]) AS i, unnest([m, sqrt(v2), v3 / pow(v2, 1.5)]) AS x FROM (SELECT vec_id, ch, CAST(1 AS DOUBLE) / 254 AS m, sum(p * p) / 254 - pow(CAST(1 AS DOUBLE) / 254, 2) AS v2, sum(p * p * p) / 254 - 3 * sum(p * p) / 254 / 254 + 2 * pow(CAST(1 AS DOUBLE) / 254, 3) AS v3 FROM (
+        SELECT vec_id, ch, n / sum(n) OVER (PARTITION BY vec_id, ch) AS p FROM {_binned("(SELECT vec_id, unnest([0, 1, 2, 3, 4, 5]) AS ch, unnest([CAST(hue AS DOUBLE), b, sat, g, val, q]) AS v FROM pix)", "vec_id, ch", 255)} WHERE bin > 0) GROUP BY vec_id, ch)""", 4),
+    "feature_hist_thr": _out(f"SELECT vec_id, bin - 1 AS i, n / 4096 AS x FROM {_binned('(SELECT vec_id, val AS v FROM (SELECT *, avg(hue) OVER (PARTITION BY vec_id) + stddev_pop(val) OVER (PARTITION BY vec_id) AS t FROM pix) WHERE hue <= t)', 'vec_id', 255)} WHERE bin > 0"),
+    "feature_cum_hist": _out(f"SELECT vec_id, i, coalesce(sum(CASE WHEN i = 0 THEN 0 ELSE n END) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x FROM (SELECT vec_id, i, coalesce(n, 0) AS n FROM (SELECT vec_id, unnest(range(256)) AS i FROM (SELECT DISTINCT vec_id FROM cell)) LEFT JOIN (SELECT vec_id, bin AS i, n FROM {_HUES}) USING (vec_id, i))"),
+    "feature_exp_hist": _out(f"SELECT vec_id, i, e / sum(e) OVER (PARTITION BY vec_id) AS x FROM (SELECT vec_id, i, exp(coalesce(n, 0) / max(n) OVER (PARTITION BY vec_id)) AS e FROM (SELECT vec_id, unnest(range(256)) AS i FROM (SELECT DISTINCT vec_id FROM cell)) LEFT JOIN (SELECT vec_id, bin AS i, n FROM {_HUES}) USING (vec_id, i))"),
+    "feature_local_histogram": _out(f"SELECT vec_id, (i * 10 + j) * 47 + bin - 1 AS i, n / 36 AS x FROM {_binned('(SELECT vec_id, y // 6 AS i, x // 6 AS j, l0 AS v FROM pix WHERE y < 60 AND x < 60)', 'vec_id, i, j', 48)} WHERE bin > 0"),
+    "feature_weighted_local_histogram": _out("SELECT vec_id, least(CAST(floor(v * 255 / most) AS INT), 254) AS i, CAST(count(*) AS DOUBLE) AS x FROM (SELECT *, max(v) OVER (PARTITION BY vec_id) AS most FROM (SELECT vec_id, unnest([share, sat, val]) AS v FROM (SELECT *, count(*) OVER (PARTITION BY vec_id, hue) / CAST(4096 AS DOUBLE) AS share FROM pix))) GROUP BY ALL"),
+    "feature_pyramid_local_histogram": _out(f"SELECT vec_id, 120 * (lvl - 1) * lvl * (2 * lvl - 1) // 6 + ch * lvl * lvl * 40 + (i * lvl + j) * 40 + bin AS i, n / sum(n) OVER (PARTITION BY vec_id, lvl, ch, i, j) AS x FROM {_binned(_LEVELS, 'vec_id, lvl, ch, i, j', 40)}"),
+    "feature_histogram_lab": _out(f"SELECT vec_id, ch * 48 + bin AS i, n / 4096 AS x FROM {_binned(_PLANES, 'vec_id, ch', 48)}"),
+    "feature_3d_histogram": _out("SELECT vec_id, (b0 * 9 + b1 * 3 + b2) AS i, CAST(count(*) AS DOUBLE) AS x FROM (SELECT vec_id, " + ", ".join(f"least(CAST(floor((l{c} - min(l{c}) OVER w) * 3 / (max(l{c}) OVER w - min(l{c}) OVER w)) AS INT), 2) AS b{c}" for c in range(3)) + " FROM pix WINDOW w AS (PARTITION BY vec_id)) GROUP BY ALL"),
+}

@@ -13,6 +13,7 @@ import math
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetta.functions import kernels as K
+from facetta.functions import text_metrics as X
+from facetta.functions import vectors as V
+from facetta.operators import codebook as B
 from facetta.operators import images as I
 from facetta.operators import retrieval as R
 from facetta.operators import tokenizers as T
@@ -32,7 +36,11 @@ CROPS = 1 << 24
 KEYPOINTS = 1 << 18
 FRAMES = "array<struct<angle:double,corners:array<array<double>>>>"
 #: Plug-ins by kind and name.
-REGISTRY: dict[str, dict[str, Callable]] = {"task": {}, "metric": {}, "ocr": {}, "tokenizer": {n: T for n in ("bpe_tokenizer", "word_tokenizer")}, "preprocessing": {**I.ENHANCE, **I.MASKS, **I.TEXTS}, "features_extractor": {**I.FEATURES, **I.KEYPOINTS}, "distance": dict.fromkeys(("cosine", "l1", "euclidean"), R.knn)}
+REGISTRY: dict[str, dict[str, Callable]] = {"task": {}, "metric": {}, "ocr": {}, "tokenizer": {"bpe_tokenizer": T, "word_tokenizer": T, "visual_codebook_tokenizer": B}, "preprocessing": {**I.ENHANCE, **I.MASKS, **I.TEXTS}, "features_extractor": {**I.FEATURES, **I.KEYPOINTS, "visual_codebook_extractor": B.tokenize}, "distance": {**dict.fromkeys(("cosine", "l1", "euclidean"), R.knn), "jaccard_dist": X.jaccard, "bag_dist": X.bag}}
+#: Metrics by what they compare: "image" a metric of two images, "str" texts, "token" token lists, "bb" boxes, "rank" rankings, "vector" two vectors.
+INPUT: dict[str, str] = {**dict.fromkeys(X.OF_TEXTS, "str"), **dict.fromkeys(X.OF_TOKENS, "token"), "iou": "bb", "map": "rank", "raw_accuracy": "rank"}
+#: Entries of a plug-in that are the task's, not the plug-in's own parameters.
+OF_TASK = {"name", "feats_w", "distance", "in_db_thr", "norm", "quality_thr", "matches_thr"}
 
 
 def register(kind: str, name: str):
@@ -61,12 +69,17 @@ class Task:
     metrics: list[dict] = field(default_factory=list)
     distance: str = "cosine"
     inference_only: bool = False
-    #: Parameters of the extractors by name: feats_w, distance, in_db_thr, norm, quality_thr, matches_thr.
+    #: Entries of the preprocessors and extractors by name: OF_TASK and the plug-in's own parameters.
     options: dict[str, dict] = field(default_factory=dict)
     tokenizer: dict | None = None
     #: Name of the registered function of a cropped image that reads its text.
     ocr: str | None = None
     use_gt: bool = False
+    k_mixtures: int = 8
+
+    def own(self, name: str) -> dict:
+        """The parameters of a plug-in."""
+        return {k: v for k, v in self.options.get(name, {}).items() if k not in OF_TASK}
 
 
 def _names(items) -> list[str]:
@@ -89,11 +102,14 @@ def load(text: str) -> list[Task]:
         task = Task(
             entry["name"], _names(entry.get("datasets")), _names(entry.get("preprocessing")), _names(entry.get("features_extractors")),
             [m for x in entry.get("metrics") or [] for m in expand(x if isinstance(x, dict) else {"name": x})], distance["name"] if isinstance(distance, dict) else distance, bool(entry.get("inference_only")),
-            {x["name"]: x for x in entry.get("features_extractors") or [] if isinstance(x, dict)}, entry.get("tokenizer"), entry.get("ocr"), bool(entry.get("use_gt")),
+            {x["name"]: x for kind in ("preprocessing", "features_extractors") for x in entry.get(kind) or [] if isinstance(x, dict)}, entry.get("tokenizer"), entry.get("ocr"), bool(entry.get("use_gt")), int(entry.get("k_mixtures") or 8),
         )
         for kind, names in (("task", [task.name]), ("preprocessing", task.preprocessing), ("features_extractor", task.features_extractors), ("metric", _names(task.metrics)), ("distance", [task.distance, *(o["distance"]["name"] for o in task.options.values() if o.get("distance"))]), ("tokenizer", [task.tokenizer["name"]] if task.tokenizer else []), ("ocr", [task.ocr] if task.ocr else [])):
             for name in names:
                 resolve(kind, name)
+        for table in (I.ENHANCE, I.MASKS, I.TEXTS, I.FEATURES, I.KEYPOINTS):
+            for name in {*task.preprocessing, *task.features_extractors} & set(table):
+                I.bound(table, name, task.own(name))
         out.append(task)
     return out
 
@@ -137,42 +153,107 @@ def psnr(gt: np.ndarray, pred: np.ndarray) -> float:
     return 100.0 if mse == 0 else 20 * math.log10(255 / math.sqrt(mse))
 
 
+@register("metric", "ssim")
+def ssim(gt: np.ndarray, pred: np.ndarray, window: int = 7, span: float = 255.0) -> float | None:
+    """Structural similarity: the mean over channels and whole windows; null for images smaller than a window."""
+    a, b = (x.reshape(*x.shape[:2], -1).astype(float) for x in (gt, pred))
+    if min(a.shape[:2]) < window:
+        return None
+
+    def means(x):
+        total = np.pad(x, ((1, 0), (1, 0), (0, 0))).cumsum(0).cumsum(1)
+        return (total[window:, window:] - total[:-window, window:] - total[window:, :-window] + total[:-window, :-window]) / window**2
+
+    ma, mb, n = means(a), means(b), window**2 / (window**2 - 1)
+    va, vb, both = n * (means(a * a) - ma * ma), n * (means(b * b) - mb * mb), n * (means(a * b) - ma * mb)
+    c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
+    return float(((2 * ma * mb + c1) * (2 * both + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))).mean())
+
+
+for _name, _distance in X.OF_TEXTS.items() | X.OF_TOKENS.items():
+    register("metric", _name)(_distance)
+for _name, _column in (("euclidian_distance", V.euclidean), ("l1_distance", V.l1), ("chi2_distance", V.chi2), ("hellinger_kernel_distance", V.hellinger), ("histogram_intersection_similarity", V.intersection)):
+    register("metric", _name)(_column)
+    INPUT[_name] = "vector"
+
+
 @register("metric", "map")
 def mean_reciprocal(first: Column, top_k: int = 10) -> Column:
     return F.when(first <= top_k, 1 / first).otherwise(0.0)
 
 
+@register("metric", "raw_accuracy")
+def raw_accuracy(first: Column) -> Column:
+    return F.when(first == 1, 1.0).otherwise(0.0)
+
+
 def _label(metric: dict) -> str:
     return metric["name"] + "".join(f"@{v}" for k, v in metric.items() if k != "name")
 
 
 def compared(frame: DataFrame, metrics: list[dict]) -> DataFrame:
-    """sample_id, metric and value of the binary columns gt and pred; null where one is missing or sizes differ."""
-    functions = [(_label(m), resolve("metric", m["name"]), {k: v for k, v in m.items() if k != "name"}) for m in metrics]
+    """sample_id, metric and value of the columns gt and pred; null where one is missing or sizes differ.
+
+    The columns are bytes, or images (structs of height, width, nChannels and data), which metrics of windows need.
+    """
+    functions = [(_label(m), resolve("metric", m["name"]), {k: v for k, v in m.items() if k != "name"}) for m in metrics if INPUT.get(m["name"], "image") == "image"]
+    shaped = dict(frame.dtypes)["gt"] != "binary"
+
+    def side(x):
+        if not shaped:
+            return None if x is None else np.frombuffer(x, np.uint8)
+        return None if x is None or x["data"] is None else I.decode(x["height"], x["width"], x["nChannels"], x["data"])
 
     def run(frames):
         for part in frames:
             rows = []
             for at, *data in part.itertuples(index=False):
-                sides = [None if d is None else np.frombuffer(d, np.uint8) for d in data]
-                fit = None not in data and sides[0].size == sides[1].size > 0
+                sides = [side(d) for d in data]
+                fit = not any(x is None for x in sides) and sides[0].shape == sides[1].shape and sides[0].size > 0
                 rows += [(at, name, f(*sides, **params) if fit else None) for name, f, params in functions]
             yield pd.DataFrame(rows, columns=["sample_id", "metric", "value"])
 
-    return frame.select("sample_id", "gt", "pred").mapInPandas(run, "sample_id long, metric string, value double")
+    of = (lambda c: F.col(c)) if not shaped else (lambda c: F.when(F.col(c).isNotNull(), F.struct(*[F.col(f"{c}.{x}").alias(x) for x in ("height", "width", "nChannels", "data")])).alias(c))
+    return frame.select("sample_id", of("gt"), of("pred")).mapInPandas(run, "sample_id long, metric string, value double")
+
+
+def compared_texts(frame: DataFrame, metrics: list[dict], key: str = "sample_id") -> DataFrame:
+    """key, metric and value of text metrics: gt has the true lines, each a list of fields, pred the predicted texts.
+
+    Columns gt_tokens and pred_tokens, where there are any, hold the same with token lists in place of texts; without
+    them metrics of tokens are left out. A null side counts as empty, an empty side has a null value.
+    """
+    tokens = "gt_tokens" in frame.columns
+    wanted = [(_label(m), resolve("metric", m["name"]), INPUT.get(m["name"]) == "token") for m in metrics if INPUT.get(m["name"]) == "str" or tokens and INPUT.get(m["name"]) == "token"]
+
+    def lists(x):
+        return [] if x is None else [list(y) if y is not None else [] for y in x]
+
+    def run(frames):
+        for part in frames:
+            rows = []
+            for at, gt, pred, *more in part.itertuples(index=False):
+                texts = ([] if pred is None else list(pred), lists(gt))
+                coded = ([list(p) for p in more[1]] if more and more[1] is not None else [], [[list(f) for f in line] for line in more[0]] if more and more[0] is not None else [])
+                rows += [(at, name, X.worst(*(coded if of_tokens else texts), f)) for name, f, of_tokens in wanted]
+            yield pd.DataFrame(rows, columns=[key, "metric", "value"])
+
+    return frame.select(key, "gt", "pred", *(["gt_tokens", "pred_tokens"] if tokens else [])).mapInPandas(run, f"{key} long, metric string, value double")
 
 
 def scored(frame: DataFrame, metrics: list[dict], over: str) -> DataFrame:
     """sample_id, metric and value of metrics that are columns; parameters are part of a metric's name."""
-    columns = [F.struct(F.lit(_label(m)).alias("metric"), resolve("metric", m["name"])(F.col(over), **{k: v for k, v in m.items() if k != "name"}).alias("value")) for m in metrics]
+    columns = [F.struct(F.lit(_label(m)).alias("metric"), resolve("metric", m["name"])(F.col(over), **{k: v for k, v in m.items() if k != "name"}).alias("value")) for m in metrics if INPUT.get(m["name"]) == "rank"]
+    if not columns:
+        return frame.select("sample_id", F.lit("").alias("metric"), F.lit(None).cast("double").alias("value")).limit(0)
     return frame.select("sample_id", F.explode(F.array(*columns)).alias("m")).select("sample_id", "m.*")
 
 
-def chain(images: DataFrame, names: list[str]) -> DataFrame:
+def chain(images: DataFrame, task: Task) -> DataFrame:
     """Enhancements in order, the image of one feeds the next."""
-    for name in names:
+    for name in task.preprocessing:
         if name in I.ENHANCE:
-            images = I.enhance(images, name)
+            images = I.enhance(images, name, options=task.own(name))
     return images
 
 
@@ -185,45 +266,87 @@ def masking(task: Task, data: dict[str, DataFrame]) -> tuple[DataFrame, DataFram
     kinds = [n for n in task.preprocessing if n in I.MASKS]
     if not kinds:
         raise ValueError("masking needs a mask preprocessor")
-    found = I.masks(chain(data["images"], task.preprocessing), kinds[-1])
+    found = I.masks(chain(data["images"], task), kinds[-1], options=task.own(kinds[-1]))
     if task.inference_only or "masks" not in data:
         return found, None
-    gt = data["masks"].select("sample_id", F.col("image.data").alias("gt"))
-    return found, compared(found.select("sample_id", F.col("mask").alias("pred")).join(gt, "sample_id"), task.metrics)
+    made = F.struct("height", "width", F.lit(1).alias("nChannels"), F.col("mask").alias("data")).alias("pred")
+    return found, compared(found.select("sample_id", made).join(mask_images(data["masks"]), "sample_id"), task.metrics)
+
+
+def mask_images(masks_: DataFrame) -> DataFrame:
+    """sample_id and gt, the true masks as images of one channel: colours become their luma, and 255 where there is any."""
+    one = lambda img: [(None,) * 3] if img is None else [(*img.shape[:2], ((K.gray(img) > 0) * np.uint8(255)).tobytes())]
+    flat = I.over(masks_, "sample_id", one, "sample_id long, height int, width int, data binary")
+    return flat.select("sample_id", F.struct("height", "width", F.lit(1).alias("nChannels"), "data").alias("gt"))
 
 
 @register("task", "denoising")
 def denoising(task: Task, data: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame | None]:
     """Enhanced images; their metrics against ``clean``."""
-    found = chain(data["images"].select("sample_id", "image"), task.preprocessing)
+    found = chain(data["images"].select("sample_id", "image"), task)
     if task.inference_only or "clean" not in data:
         return found, None
-    gt = data["clean"].select("sample_id", F.col("image.data").alias("gt"))
-    return found, compared(found.select("sample_id", F.col("image.data").alias("pred")).join(gt, "sample_id"), task.metrics)
+    gt = data["clean"].select("sample_id", F.col("image").alias("gt"))
+    return found, compared(found.select("sample_id", F.col("image").alias("pred")).join(gt, "sample_id"), task.metrics)
+
+
+def tokens_of(task: Task, data: dict[str, DataFrame], text: Column) -> Column | None:
+    """Token lists of texts by the task's tokenizer, fitted to the annotations; null without one."""
+    if not task.tokenizer or task.tokenizer["name"] not in ("bpe_tokenizer", "word_tokenizer"):
+        return None
+    if task.tokenizer["name"] == "word_tokenizer" or "annotations" not in data:
+        return T.words(text)
+    noted = data["annotations"].select(F.array_join("fields", " ").alias("text"))
+    return T.words(text) if noted.isEmpty() else T.encode(text, T.fit(noted, "text", T.Subwords(size=int(task.tokenizer.get("vocab_size", 256)))))
+
+
+def text_lines(task: Task, found: DataFrame, data: dict[str, DataFrame]) -> DataFrame:
+    """sample_id, gt, pred (and gt_tokens, pred_tokens with a tokenizer) for ``compared_texts``."""
+    read = found.select("sample_id", F.posexplode("texts").alias("i", "text"), "crop_pos")
+    noted = data["annotations"].select("sample_id", "line_no", F.posexplode("fields").alias("i", "text"))
+    code = tokens_of(task, data, F.col("text"))
+    if code is not None:
+        read, noted = read.withColumn("tokens", code), noted.withColumn("tokens", code)
+    names = ["text"] + (["tokens"] if code is not None else [])
+    pred = read.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("crop_pos", "i", *names))).alias("x"))
+    lines = noted.groupBy("sample_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("i", *names))).alias("y"))
+    gt = lines.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "y"))).alias("z"))
+    both = gt.join(pred, "sample_id", "left")
+    field = lambda name: F.transform("z", lambda line: F.transform(line["y"], lambda f: f[name]))
+    columns = [field("text").alias("gt"), F.col("x.text").alias("pred")]
+    return both.select("sample_id", *columns, *([field("tokens").alias("gt_tokens"), F.col("x.tokens").alias("pred_tokens")] if code is not None else []))
 
 
 @register("task", "text_detection")
 def text_detection(task: Task, data: dict[str, DataFrame], ocr=None) -> tuple[DataFrame, DataFrame | None]:
-    """Text boxes of the crops in coordinates of the whole image, and their mean intersection over union."""
+    """Text boxes of the crops in coordinates of the whole image, their masks and texts; box metrics against ``text_boxes``, text metrics against ``annotations``."""
     detector = next((n for n in task.preprocessing if n in I.TEXTS), None)
     if detector is None:
         raise ValueError("text_detection needs a text detector")
-    images = chain(data["images"].select("sample_id", "image"), task.preprocessing)
+    ocr, own = ocr or (REGISTRY["ocr"][task.ocr] if task.ocr else None), task.own(detector)
+    images = chain(data["images"].select("sample_id", "image"), task)
     kinds = [n for n in task.preprocessing if n in I.MASKS]
     if kinds:
-        places = I.masks(images, kinds[-1]).select("sample_id", "boxes")
+        places = I.masks(images, kinds[-1], options=task.own(kinds[-1])).select("sample_id", "boxes")
         cut = I.crops(images, places).withColumn("crop_key", F.col("sample_id") * CROPS + F.col("crop_pos"))
-        found = I.text_boxes(cut, detector, "crop_key", ocr=ocr).withColumns({"sample_id": F.expr(f"crop_key div {CROPS}"), "crop_pos": F.pmod("crop_key", F.lit(CROPS)).cast("int")})
+        found = I.text_boxes(cut, detector, "crop_key", ocr=ocr, options=own).withColumns({"sample_id": F.expr(f"crop_key div {CROPS}"), "crop_pos": F.pmod("crop_key", F.lit(CROPS)).cast("int")})
         moved = found.join(places.withColumnRenamed("boxes", "places"), "sample_id", "left")
         x, y = (F.coalesce(F.get(F.get("places", "crop_pos"), i), F.lit(0)) for i in (0, 1))
-        found = moved.select("sample_id", "crop_pos", F.transform("boxes", lambda b: F.array(b[0] + x, b[1] + y, b[2] + x, b[3] + y)).alias("boxes"), "texts")
+        found = moved.select("sample_id", "crop_pos", F.transform("boxes", lambda b: F.array(b[0] + x, b[1] + y, b[2] + x, b[3] + y)).alias("boxes"), "texts", "height", "width", "text_mask")
     else:
-        found = I.text_boxes(images, detector, ocr=ocr).select("sample_id", F.lit(0).alias("crop_pos"), "boxes", "texts")
-    if task.inference_only or "text_boxes" not in data:
+        found = I.text_boxes(images, detector, ocr=ocr, options=own).select("sample_id", F.lit(0).alias("crop_pos"), "boxes", "texts", "height", "width", "text_mask")
+    if task.inference_only:
         return found, None
-    return found, box_iou(data["text_boxes"], found.groupBy("sample_id").agg(F.flatten(F.collect_list("boxes")).alias("boxes")))
+    kinds_of = {INPUT.get(m["name"]) for m in task.metrics} if task.metrics else {"bb"}
+    parts = []
+    if "bb" in kinds_of and "text_boxes" in data:
+        parts.append(box_iou(data["text_boxes"], found.groupBy("sample_id").agg(F.flatten(F.collect_list("boxes")).alias("boxes"))))
+    if kinds_of & {"str", "token"} and "annotations" in data:
+        parts.append(compared_texts(text_lines(task, found, data), task.metrics))
+    return found, reduce(DataFrame.unionByName, parts) if parts else None
 
 
+@register("metric", "iou")
 def box_iou(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """For each sample the mean over true boxes of the best intersection over union; 0 without true boxes."""
     edge = lambda b, i: b[i].cast("double")
@@ -239,24 +362,31 @@ def box_iou(gt: DataFrame, pred: DataFrame) -> DataFrame:
     return both.select("sample_id", F.lit("iou").alias("metric"), F.coalesce(F.try_divide(_sum(best), F.size("gt")), F.lit(0.0)).alias("value"))
 
 
-def _vectors(images: DataFrame, names: list[str]) -> DataFrame:
-    """vec_id and embedding: the vectors of all extractors, joined end to end."""
+def _vectors(task: Task, data: dict[str, DataFrame], images: DataFrame, names: list[str]) -> DataFrame:
+    """vec_id and embedding: the vectors of all extractors, joined end to end. Visual words are those of the database."""
     out = None
     for i, name in enumerate(names):
-        one = I.features(images, name).select(F.col("sample_id").alias("vec_id"), F.col("vector").alias(f"v{i}"))
+        if name == "visual_codebook_extractor":
+            if not task.tokenizer or task.tokenizer["name"] != "visual_codebook_tokenizer":
+                raise ValueError("visual_codebook_extractor needs the visual_codebook_tokenizer")
+            own = {k: int(v) for k, v in task.tokenizer.items() if k in ("k_size", "sample", "channel", "num_words")}
+            found = B.tokenize(images, B.fit(data["database"] if "database" in data else images, **own))
+        else:
+            found = I.features(images, name, options=task.own(name))
+        one = found.select(F.col("sample_id").alias("vec_id"), F.col("vector").alias(f"v{i}"))
         out = one if out is None else out.join(one, "vec_id")
     return out.select("vec_id", F.concat(*[f"v{i}" for i in range(len(names))]).alias("embedding"))
 
 
 def query_crops(task: Task, data: dict[str, DataFrame]) -> DataFrame:
     """sample_id (a crop's key), image and texts: the chain's output, cut by true regions or the last mask, its text erased."""
-    images = chain(data["images"].select("sample_id", "image"), task.preprocessing)
+    images = chain(data["images"].select("sample_id", "image"), task)
     kinds, detector = [n for n in task.preprocessing if n in I.MASKS], next((n for n in task.preprocessing if n in I.TEXTS), None)
-    places = I.mask_regions(data["masks"]) if task.use_gt and "masks" in data else I.masks(images, kinds[-1]) if kinds else None
+    places = I.mask_regions(data["masks"]) if task.use_gt and "masks" in data else I.masks(images, kinds[-1], options=task.own(kinds[-1])) if kinds else None
     cut = images.withColumn("crop_pos", F.lit(0)) if places is None else I.crops(images, places.select("sample_id", "boxes"))
     cut = cut.select((F.col("sample_id") * CROPS + F.col("crop_pos")).alias("sample_id"), "image")
     ocr = REGISTRY["ocr"][task.ocr] if task.ocr else None
-    return I.without_text(cut, detector, ocr) if detector else cut.withColumn("texts", F.lit(None).cast("array<string>"))
+    return I.without_text(cut, detector, ocr, options=task.own(detector)) if detector else cut.withColumn("texts", F.lit(None).cast("array<string>"))
 
 
 def frames(task: Task, data: dict[str, DataFrame]) -> DataFrame | None:
@@ -264,7 +394,7 @@ def frames(task: Task, data: dict[str, DataFrame]) -> DataFrame | None:
     kinds = [n for n in task.preprocessing if n in I.MASKS]
     if not kinds:
         return None
-    found = I.masks(chain(data["images"].select("sample_id", "image"), task.preprocessing), kinds[-1])
+    found = I.masks(chain(data["images"].select("sample_id", "image"), task), kinds[-1], options=task.own(kinds[-1]))
     return found.select("sample_id", F.coalesce(F.arrays_zip("angles", "corners").cast(FRAMES), F.array().cast(FRAMES)).alias("frames"))
 
 
@@ -294,19 +424,19 @@ def text_ranking(task: Task, crops: DataFrame, data: dict[str, DataFrame]) -> Da
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "db_id")) - 1)
 
 
-def source_ranking(task: Task, name: str, crops: DataFrame, database: DataFrame) -> tuple[DataFrame, Column]:
+def source_ranking(task: Task, name: str, crops: DataFrame, data: dict[str, DataFrame]) -> tuple[DataFrame, Column]:
     """The ranking (query_id, db_id, rank) of an extractor and the column that tells whether a row votes for acceptance.
 
     Keypoint images are scored by the share of descriptors that pass the ratio test; pairs without a match score 0.
     Without a threshold a source always votes.
     """
-    options = task.options.get(name, {})
-    if name in I.FEATURES:
+    options, database = task.options.get(name, {}), data["database"]
+    if name not in I.KEYPOINTS:
         distance = options.get("distance") or {}
         limit = distance.get("in_db_thr")
-        found = R.full_ranking(_vectors(crops, [name]), _vectors(database, [name]), distance.get("name", task.distance), skip_self=False)
+        found = R.full_ranking(_vectors(task, data, crops, [name]), _vectors(task, data, database, [name]), distance.get("name", task.distance), skip_self=False)
         return found, F.lit(True) if limit is None else F.col("dist") <= float(limit)
-    each = lambda rows: I.keypoints(rows, name).select((F.col("sample_id") * KEYPOINTS + F.col("kp")).alias("vec_id"), F.col("sample_id").alias("image_id"), F.col("descriptor").alias("embedding"))
+    each = lambda rows: I.keypoints(rows, name, options=task.own(name)).select((F.col("sample_id") * KEYPOINTS + F.col("kp")).alias("vec_id"), F.col("sample_id").alias("image_id"), F.col("descriptor").alias("embedding"))
     kind = "hamming" if options.get("norm", "hamming" if name.startswith("orb") else "l2") == "hamming" else "euclidean"
     scores = R.ratio_matches(each(crops), each(database), "image_id", float(options.get("quality_thr", 0.75)), kind, skip_self=False)
     pairs = R.all_pairs(crops.select(F.col("sample_id").alias("query_id")), database.select(F.col("sample_id").alias("db_id")))
@@ -316,6 +446,10 @@ def source_ranking(task: Task, name: str, crops: DataFrame, database: DataFrame)
     return R.score_ranks(full, "query_id", "db_id"), F.lit(True) if limit is None else F.col("score") >= float(limit)
 
 
+def _reads_text(task: Task) -> bool:
+    return bool(task.tokenizer) and task.tokenizer["name"] != "visual_codebook_tokenizer"
+
+
 def _scored_ranks(task: Task, found: DataFrame, data: dict[str, DataFrame]):
     """Predictions of crops; a metric's value of a sample is the mean over its true items that have a crop.
 
@@ -336,7 +470,7 @@ def _scored_ranks(task: Task, found: DataFrame, data: dict[str, DataFrame]):
 def retrieval_comb(task: Task, data: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame | None]:
     """Neighbours by the joined vectors of all extractors."""
     crops = query_crops(task, data).persist()
-    sides = [_vectors(x, task.features_extractors) for x in (crops, data["database"])]
+    sides = [_vectors(task, data, x, task.features_extractors) for x in (crops, data["database"])]
     return _scored_ranks(task, R.knn(*sides, 10, task.distance, skip_self=False), data)
 
 
@@ -344,10 +478,14 @@ def retrieval_comb(task: Task, data: dict[str, DataFrame]) -> tuple[DataFrame, D
 def retrieval(task: Task, data: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame | None]:
     """Neighbours by the first extractor; only those that the text (or, without a tokenizer, the next extractor) finds too, in the order of the first."""
     crops, found = query_crops(task, data).persist(), []
-    for name in task.features_extractors[: 1 if task.tokenizer else 2]:
+    for name in task.features_extractors[: 1 if _reads_text(task) else 2]:
         near = int((task.options.get(name, {}).get("distance") or {}).get("n_neighbors", 10))
-        found.append(R.knn(*[_vectors(x, [name]) for x in (crops, data["database"])], near, task.distance, skip_self=False))
-    if task.tokenizer:
+        if name in I.KEYPOINTS:
+            ranked, _ = source_ranking(task, name, crops, data)
+            found.append(ranked.withColumnRenamed("rank", "rnk").withColumn("rnk", F.col("rnk") + 1).where(F.col("rnk") <= near))
+            continue
+        found.append(R.knn(*[_vectors(task, data, x, [name]) for x in (crops, data["database"])], near, task.distance, skip_self=False))
+    if _reads_text(task):
         near = int((task.tokenizer.get("distance") or {}).get("n_neighbors", 10))
         found.append(text_ranking(task, crops, data).where(F.col("rank") < near))
     both = R.intersect_candidates(*found) if len(found) > 1 else found[0]
@@ -359,10 +497,10 @@ def retrieval_distcomb(task: Task, data: dict[str, DataFrame]) -> tuple[DataFram
     """Rankings of every source, fused by their weighted ranks; crops that too few extractors accept are rejected. Text has no vote."""
     crops = query_crops(task, data).persist()
     ranks, said = [], []
-    if task.tokenizer:
+    if _reads_text(task):
         ranks.append((text_ranking(task, crops, data), float(task.tokenizer.get("feats_w") or 1.0)))
     for name in task.features_extractors:
-        found, vote = source_ranking(task, name, crops, data["database"])
+        found, vote = source_ranking(task, name, crops, data)
         ranks.append((found, float(task.options.get(name, {}).get("feats_w") or 1.0)))
         said.append((found, vote))
     fused = R.borda(ranks).where("rnk <= 10")
@@ -403,12 +541,12 @@ def principal_axes(rows: DataFrame, k: int = 2, more: int = 6, rounds: int = 12,
 
 
 @register("task", "visualize")
-def visualize(task: Task, data: dict[str, DataFrame], mixtures: int = 8, seed: int = 3) -> tuple[DataFrame, None]:
+def visualize(task: Task, data: dict[str, DataFrame], mixtures: int | None = None, seed: int = 3) -> tuple[DataFrame, None]:
     """The plot's data: each crop's place on two principal components of the first extractor, and its mixture component."""
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = _vectors(query_crops(task, data), task.features_extractors[:1]).where("embedding is not null").persist()
+    rows = _vectors(task, data, query_crops(task, data), task.features_extractors[:1]).where("embedding is not null").persist()
     mean, axes = principal_axes(rows, seed=seed)
 
     def place(batches):
@@ -418,7 +556,7 @@ def visualize(task: Task, data: dict[str, DataFrame], mixtures: int = 8, seed: i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at[:, 0]), pa.array(at[:, 1])], names=["crop", "pc1", "pc2"])
 
     plane = rows.select("vec_id", "embedding").mapInArrow(place, "crop long, pc1 double, pc2 double").withColumn("features", array_to_vector(F.array("pc1", "pc2")))
-    named = GaussianMixture(k=mixtures, seed=seed, maxIter=50).fit(plane).transform(plane)
+    named = GaussianMixture(k=mixtures or task.k_mixtures, seed=seed, maxIter=50).fit(plane).transform(plane)
     return named.select(F.expr(f"crop div {CROPS}").alias("sample_id"), F.pmod("crop", F.lit(CROPS)).cast("int").alias("crop_id"), "pc1", "pc2", F.col("prediction").alias("component"), F.array_max(vector_to_array("probability")).alias("probability")), None
 
 
@@ -471,6 +609,15 @@ def dataset(spark: SparkSession, path: str, database: str | None = None) -> dict
     return out | ({"database": S.images(spark, database), "annotations": S.annotations(spark, database)} if database else {})
 
 
+def preloaded(data: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Images and masks read and kept in memory or on disk before any task runs; clean images are not."""
+    out = dict(data)
+    for name in {"images", "masks"} & set(data):
+        out[name] = data[name].persist()
+        out[name].count()
+    return out
+
+
 def run(spark: SparkSession, tasks: list[Task], datasets: dict[str, dict[str, DataFrame]], out: str) -> list[str]:
     """Every task over each of its datasets: ``result`` and ``report`` in a folder of its own; gives the folders."""
     folders = []
@@ -480,10 +627,15 @@ def run(spark: SparkSession, tasks: list[Task], datasets: dict[str, dict[str, Da
             folder = f"{out}/{task.name}_on_{at}_{name}"
             result, metrics = resolve("task", task.name)(task, datasets[at])
             result.write.parquet(f"{folder}/result")
+            written = spark.read.parquet(f"{folder}/result")
+            if task.name == "masking":
+                S.mask_files(written, "mask").write.parquet(f"{folder}/masks")
+            if task.name == "text_detection":
+                S.mask_files(written, "text_mask", "crop_pos").write.parquet(f"{folder}/text_masks")
+                S.transcriptions(written).write.partitionBy("sample_id").text(f"{folder}/text_transcriptions")
             if task.name.startswith("retrieval"):
-                ranked = spark.read.parquet(f"{folder}/result")
                 for kind, first in (("result_w1", True), ("result_w2", False)):
-                    S.predictions(ranked, 10, first).write.parquet(f"{folder}/{kind}")
+                    S.predictions(written, 10, first).write.parquet(f"{folder}/{kind}")
                 if (found := frames(task, datasets[at])) is not None:
                     found.write.parquet(f"{folder}/frames")
             if metrics is not None:
@@ -496,14 +648,17 @@ def main() -> None:
     ask = argparse.ArgumentParser()
     for flag, default in (("datasets_dir", "datasets"), ("retrieval_ds_dir", None), ("output_dir", "output"), ("config", None)):
         ask.add_argument(f"--{flag}", default=default)
-    ask.add_argument("--inference_only", action="store_true")
+    ask.add_argument("--num_workers", type=int, default=0, help="ignored: the cluster has the workers")
+    for flag in ("inference_only", "preload"):
+        ask.add_argument(f"--{flag}", action="store_true")
     args = ask.parse_args()
     spark = SparkSession.builder.getOrCreate()
     tasks = load("\n".join(r.value for r in spark.read.text(args.config).collect()))
     for task in tasks:
         task.inference_only |= args.inference_only
     names = {d for t in tasks for d in t.datasets}
-    run(spark, tasks, {d: dataset(spark, f"{args.datasets_dir}/{d}", args.retrieval_ds_dir) for d in names}, args.output_dir)
+    data = {d: dataset(spark, f"{args.datasets_dir}/{d}", args.retrieval_ds_dir) for d in names}
+    run(spark, tasks, {d: preloaded(x) for d, x in data.items()} if args.preload else data, args.output_dir)
 
 
 if __name__ == "__main__":

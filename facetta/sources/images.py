@@ -94,6 +94,34 @@ def predictions(ranked: DataFrame, k: int = 10, first_crop: bool = False) -> Dat
     return crops.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("crop_id", F.col("x.db_id").alias("ids")))).alias("y")).select("query_id", F.col("y.ids").alias("lists"))
 
 
+def mask_files(found: DataFrame, mask: str, *more: str) -> DataFrame:
+    """sample_id, more, name and content (a PNG of 0 and 255) of masks of 0 and 1."""
+    on = found.where(F.col(mask).isNotNull())
+    name = F.concat(F.lpad(F.col("sample_id").cast("string"), 5, "0"), *[x for c in more for x in (F.lit("_"), F.col(c).cast("string"))], F.lit(".png"))
+    return on.select("sample_id", *more, name.alias("name"), mask_png("height", "width", mask).alias("content"))
+
+
+@F.pandas_udf(BinaryType())
+def mask_png(height: pd.Series, width: pd.Series, data: pd.Series) -> pd.Series:
+    return pd.Series([png(np.frombuffer(d, np.uint8).reshape(int(h), int(w)) * np.uint8(255)) for h, w, d in zip(height, width, data)], dtype=object)
+
+
+def transcriptions(found: DataFrame) -> DataFrame:
+    """sample_id and value: a line for each text of a sample, in order."""
+    lines = found.where(F.col("texts").isNotNull()).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("crop_pos", "texts"))).alias("x"))
+    return lines.select("sample_id", F.array_join(F.flatten("x.texts"), "\n").alias("value"))
+
+
+def fixed_predictions(lists: DataFrame, k: int = 10) -> DataFrame:
+    """query_id and lists of an existing result of any numbers: the first k of each list as whole numbers."""
+    return lists.select("query_id", F.transform("lists", lambda x: F.slice(x, 1, k).cast("array<long>")).alias("lists"))
+
+
+def shown(result: DataFrame, n: int = 20) -> tuple[int, list]:
+    """The number of rows of a result and the first of them."""
+    return result.count(), result.limit(n).collect()
+
+
 def write_report(metrics: DataFrame, config: dict, path: str) -> None:
     """The configuration and the mean of every metric (metric, value) as JSON."""
     means = metrics.groupBy("metric").agg(F.round(F.avg("value"), 6).alias("mean"))
