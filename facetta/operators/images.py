@@ -376,13 +376,18 @@ def flat_text(img: np.ndarray, blur_size: int = 5, kernel_size: int = 10, kernel
 def laplacian_text(img: np.ndarray):
     """Every centre weight, opening, second opening and polarity; unsaturated text only; the first box counts."""
     x, pale = K.gray(img).astype(float), _channel(img, 1) < 60
-    boxes = []
+    sides, opened, boxes = {}, {}, []
     for weight, first, second, sign in product((4, 5, 6, 7, 8, 9), (1, 3, 5), (1, 3, 5), (1, -1)):
-        kernel = -np.ones((3, 3))
-        kernel[1, 1] = weight
-        y = np.clip(sign * K.convolve(x, kernel), 0, 255)
-        y = K.closing(K.opening(K.opening(y, first), second), 13)
-        boxes += [b for b in _text_like(((y < 210) & pale).astype(np.uint8), 0.01, 0.4) if b not in boxes]
+        if (weight, sign) not in sides:
+            kernel = -np.ones((3, 3))
+            kernel[1, 1] = weight
+            edges = K.convolve(x, kernel)
+            sides[weight, 1], sides[weight, -1] = np.clip(edges, 0, 255), np.clip(-edges, 0, 255)
+        if (weight, first, sign) not in opened:
+            opened[weight, first, sign] = K.opening(sides[weight, sign], first) if first > 1 else sides[weight, sign]
+        y = opened[weight, first, sign]
+        on = (K.closing(K.opening(y, second) if second > 1 else y, 13) < 210) & pale
+        boxes += [b for b in _text_like(on.astype(np.uint8), 0.01, 0.4) if b not in boxes] if on.any() else []
     return _box_mask(x.shape, boxes)[0], boxes[:1]
 
 

@@ -76,6 +76,17 @@ class Task:
     ocr: str | None = None
     use_gt: bool = False
     k_mixtures: int = 8
+    #: Tables kept while the task runs; ``run`` releases them.
+    held: list[DataFrame] = field(default_factory=list, repr=False)
+
+    def keep(self, rows: DataFrame) -> DataFrame:
+        self.held.append(rows.persist())
+        return self.held[-1]
+
+    def release(self) -> None:
+        for rows in self.held:
+            rows.unpersist()
+        self.held.clear()
 
     def own(self, name: str) -> dict:
         """The parameters of a plug-in."""
@@ -469,7 +480,7 @@ def _scored_ranks(task: Task, found: DataFrame, data: dict[str, DataFrame]):
 @register("task", "retrieval_comb")
 def retrieval_comb(task: Task, data: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame | None]:
     """Neighbours by the joined vectors of all extractors."""
-    crops = query_crops(task, data).persist()
+    crops = task.keep(query_crops(task, data))
     sides = [_vectors(task, data, x, task.features_extractors) for x in (crops, data["database"])]
     return _scored_ranks(task, R.knn(*sides, 10, task.distance, skip_self=False), data)
 
@@ -477,7 +488,7 @@ def retrieval_comb(task: Task, data: dict[str, DataFrame]) -> tuple[DataFrame, D
 @register("task", "retrieval")
 def retrieval(task: Task, data: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame | None]:
     """Neighbours by the first extractor; only those that the text (or, without a tokenizer, the next extractor) finds too, in the order of the first."""
-    crops, found = query_crops(task, data).persist(), []
+    crops, found = task.keep(query_crops(task, data)), []
     for name in task.features_extractors[: 1 if _reads_text(task) else 2]:
         near = int((task.options.get(name, {}).get("distance") or {}).get("n_neighbors", 10))
         if name in I.KEYPOINTS:
@@ -495,7 +506,7 @@ def retrieval(task: Task, data: dict[str, DataFrame]) -> tuple[DataFrame, DataFr
 @register("task", "retrieval_distcomb")
 def retrieval_distcomb(task: Task, data: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame | None]:
     """Rankings of every source, fused by their weighted ranks; crops that too few extractors accept are rejected. Text has no vote."""
-    crops = query_crops(task, data).persist()
+    crops = task.keep(query_crops(task, data))
     ranks, said = [], []
     if _reads_text(task):
         ranks.append((text_ranking(task, crops, data), float(task.tokenizer.get("feats_w") or 1.0)))
@@ -546,7 +557,7 @@ def visualize(task: Task, data: dict[str, DataFrame], mixtures: int | None = Non
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = _vectors(task, data, query_crops(task, data), task.features_extractors[:1]).where("embedding is not null").persist()
+    rows = task.keep(_vectors(task, data, query_crops(task, data), task.features_extractors[:1]).where("embedding is not null"))
     mean, axes = principal_axes(rows, seed=seed)
 
     def place(batches):
@@ -639,7 +650,8 @@ def run(spark: SparkSession, tasks: list[Task], datasets: dict[str, dict[str, Da
                 if (found := frames(task, datasets[at])) is not None:
                     found.write.parquet(f"{folder}/frames")
             if metrics is not None:
-                S.write_report(metrics, {**task.__dict__}, f"{folder}/report")
+                S.write_report(metrics, {k: v for k, v in task.__dict__.items() if k != "held"}, f"{folder}/report")
+            task.release()
             folders.append(folder)
     return folders
 

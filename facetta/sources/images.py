@@ -122,10 +122,14 @@ def shown(result: DataFrame, n: int = 20) -> tuple[int, list]:
     return result.count(), result.limit(n).collect()
 
 
+def report_means(metrics: DataFrame) -> DataFrame:
+    """metric and mean, over the samples that have a value."""
+    return metrics.groupBy("metric").agg(F.round(F.avg("value"), 6).alias("mean"))
+
+
 def write_report(metrics: DataFrame, config: dict, path: str) -> None:
     """The configuration and the mean of every metric (metric, value) as JSON."""
-    means = metrics.groupBy("metric").agg(F.round(F.avg("value"), 6).alias("mean"))
-    means.withColumn("config", F.lit(json.dumps(config, sort_keys=True))).write.mode("overwrite").json(path)
+    report_means(metrics).withColumn("config", F.lit(json.dumps(config, sort_keys=True))).write.mode("overwrite").json(path)
 
 
 def png(pixels: np.ndarray) -> bytes:
