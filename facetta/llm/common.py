@@ -74,3 +74,12 @@ def lower_ascii(col: Column) -> Column:
 def row_hash(text: Column) -> Column:
     """Tells apart rows that share an id; null texts have a hash of their own."""
     return F.when(text.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text))
+
+
+#: Keys of (doc_id, row hash) that may be broadcast, some 50 MB; beyond, both sides are shuffled.
+MOST_KEYS = 500_000
+
+
+def sized(df: DataFrame, most: int = MOST_KEYS) -> DataFrame:
+    """Broadcast only what a count has shown to be small."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetta.llm.common import lower_ascii, row_hash, stored
+from facetta.llm.common import MOST_KEYS, lower_ascii, row_hash, sized, stored
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A gap before lower-casing.
@@ -43,11 +43,6 @@ def item_windows(benchmark: DataFrame, window: int, null_items: bool = False) ->
     return base.select("item", "ws", F.explode(starts).alias("s")).select("item", F.expr(f"slice(ws, s, {window})").alias("w")).distinct().withColumn("n", F.size("w"))
 
 
-def sized(df: DataFrame, most: int) -> DataFrame:
-    """Broadcast only what a count has shown to be small."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, null_items: bool = False, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """doc_id, h (row hash), s, e (first and last word position of an occurrence) and item.
 
@@ -112,8 +107,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, null_
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, null_items: bool = False) -> DataFrame:
-    """The documents without a window of an item, with all their columns."""
-    found, _ = stored(docs.sparkSession, hits(docs, benchmark, window, null_items), "benchmark-hits")
-    gone = found.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (row_hash(docs["text"]) == gone["__h"]), "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, null_items: bool = False, most_keys: int = MOST_KEYS) -> DataFrame:
+    """The documents without a window of an item, with all their columns; up to ``most_keys`` of them leave without a shuffle of the rest."""
+    spark = docs.sparkSession
+    found, _ = stored(spark, hits(docs, benchmark, window, null_items), "benchmark-hits")
+    gone, _ = stored(spark, found.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct(), "benchmark-gone")
+    return docs.join(sized(gone, most_keys), docs["doc_id"].eqNullSafe(gone["__id"]) & (row_hash(docs["text"]) == gone["__h"]), "left_anti")

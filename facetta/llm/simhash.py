@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetta.llm.common import by_batch, remove, row_hash, stored, utf8
+from facetta.llm.common import MOST_KEYS, by_batch, remove, row_hash, sized, stored, utf8
 
 MASK = (1 << 64) - 1
 
@@ -261,12 +261,13 @@ def simhash_groups(docs: DataFrame, **options) -> DataFrame:
     return rooted(docs, **options).drop("root")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, most_keys: int = MOST_KEYS, **options) -> DataFrame:
     """Exactly one document of each group, with all its columns: the first by a total order.
 
     The order is (doc_id, nulls last; hash of the text; hash of all columns). Rows that are equal in all columns
     are one. No row of another group changes what is kept of a group: null ids, and ids that repeat in other
-    groups, follow the same order. Extra columns stay. An empty table gives an empty one.
+    groups, follow the same order. Extra columns stay. An empty table gives an empty one. Up to ``most_keys`` rows
+    leave without a shuffle of the rest.
     """
     spark = docs.sparkSession
     grouped, _ = stored(spark, rooted(docs, **options), "simhash-groups")
@@ -275,12 +276,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     # a text belongs to one group, so (doc_id, row_hash) tells the rows of a group from all others
     named = lambda rows: rows.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"))
     at = lambda names: docs["doc_id"].eqNullSafe(names["__id"]) & (row_hash(docs["text"]) == names["__hash"])
-    gone = named(held.filter("not stays")).distinct()
-    kept = docs.join(gone, at(gone), "left_anti")
+    gone, _ = stored(spark, named(held.filter("not stays")).distinct(), "simhash-gone")
+    kept = docs.join(sized(gone, most_keys), at(gone), "left_anti")
     again, _ = stored(spark, named(held.filter("stays")).groupBy("__id", "__hash").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "simhash-again")
     if again.isEmpty():
         return kept
-    rows = docs.join(again, at(again)).withColumn("__all", F.xxhash64(*docs.columns))
+    rows = docs.join(sized(again, most_keys), at(again)).withColumn("__all", F.xxhash64(*docs.columns))
     least = rows.groupBy(F.col("__id").alias("__i"), F.col("__hash").alias("__h")).agg(F.min("__all").alias("__least"))
     same = rows.join(least, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")) & (F.col("__all") == F.col("__least")))
-    return kept.join(again, at(again), "left_anti").unionByName(same.select(*docs.columns, "__id", "__hash").dropDuplicates(["__id", "__hash"]).select(*docs.columns))
+    return kept.join(sized(again, most_keys), at(again), "left_anti").unionByName(same.select(*docs.columns, "__id", "__hash").dropDuplicates(["__id", "__hash"]).select(*docs.columns))

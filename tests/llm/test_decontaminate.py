@@ -52,6 +52,7 @@ def test_edges(spark, edge_docs, no_docs):
     assert run(edge_docs, bench.limit(0)) == plain(rows, [])
     assert decontaminate.contamination(no_docs, bench).collect() == []
     kept = decontaminate.keep_clean(edge_docs, bench)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, decontaminate.keep_clean(edge_docs, bench, most_keys=0).collect()))
     assert kept.columns == edge_docs.columns
     assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter(r[0] for r, c in run(edge_docs, bench).items() for _ in range(c) if not r[5])
 
