@@ -40,8 +40,8 @@ def editex(a: str, b: str) -> int:
     return int(row[-1])
 
 
-def editex_many(pairs: list[tuple[str, str]], most: int = 1 << 21) -> list[int]:
-    """Distances of many pairs: pairs of like length fill one table, up to ``most`` cells of its rows at once."""
+def editex_many(pairs: list[tuple[str, str]], most: int = 1 << 14) -> list[int]:
+    """Distances of many pairs: pairs of like length fill one table, up to ``most`` cells of its rows at once (they stay in the cache)."""
     out = [0] * len(pairs)
     todo = sorted((i for i, (a, b) in enumerate(pairs) if a != b), key=lambda i: (len(pairs[i][1]), len(pairs[i][0])))
     at = 0
@@ -52,16 +52,16 @@ def editex_many(pairs: list[tuple[str, str]], most: int = 1 << 21) -> list[int]:
         some, at = todo[at:end], end
         sides = [[_codes(pairs[i][k]) for i in some] for k in (0, 1)]
         n, m = (max(len(x[0]) for x in side) for side in sides)
-        pad = lambda rows, k, width: np.stack([np.pad(r[k], (0, width - len(r[k]))) for r in rows])
+        pad = lambda rows, k, width: np.stack([np.pad(r[k], (0, width - len(r[k]))) for r in rows]).astype(np.int32 if k < 2 else bool)
         (ca, ba, sa), (cb, bb, sb) = ([pad(side, k, width) for k in range(3)] for side, width in zip(sides, (n, m)))
-        step = lambda c, b, s: np.where(c[:, :-1] == c[:, 1:], 0, np.where(((b[:, :-1] & b[:, 1:]) > 0) | s[:, :-1], 1, 2))
+        step = lambda c, b, s: np.where(c[:, :-1] == c[:, 1:], 0, np.where(((b[:, :-1] & b[:, 1:]) > 0) | s[:, :-1], 1, 2)).astype(np.int32)
         down = step(ca, ba, sa)
-        along = np.pad(np.cumsum(step(cb, bb, sb), axis=1), ((0, 0), (1, 0)))
+        along = np.pad(np.cumsum(step(cb, bb, sb), axis=1, dtype=np.int32), ((0, 0), (1, 0)))
         ends = np.array([[len(side[j][0]) - 1 for side in sides] for j in range(len(some))])
         row, found = along.copy(), np.zeros(len(some), np.int64)
         for i in range(n):
             if i:
-                swap = np.where(cb[:, 1:] == ca[:, i : i + 1], 0, np.where((bb[:, 1:] & ba[:, i : i + 1]) > 0, 1, 2))
+                swap = (cb[:, 1:] != ca[:, i : i + 1]) * (np.int32(2) - ((bb[:, 1:] & ba[:, i : i + 1]) > 0))
                 best = row + down[:, i - 1 : i]
                 best[:, 1:] = np.minimum(best[:, 1:], row[:, :-1] + swap)
                 row = np.minimum.accumulate(best - along, axis=1) + along

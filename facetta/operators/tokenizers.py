@@ -77,10 +77,13 @@ def _top(counted: DataFrame, token: str, forced: list[str], budget: int) -> tupl
 def fit(docs: DataFrame, text: str = "text", model: Subwords | None = None) -> Subwords:
     """The model with its vocabularies: the most frequent words, then pieces of the words left over."""
     model = model or Subwords()
-    counted = docs.select(F.explode(words(F.col(text), model.lowercase)).alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
-    known = _top(counted, "word", model.forced, model.word_budget)
-    rest = gram_counts(counted.where(~F.col("word").isin(list(known))), model.ngram_min, model.ngram_max)
-    pieces = _top(rest, "gram", [SOW, EOW], model.size - model.word_budget)
+    counted = docs.select(F.explode(words(F.col(text), model.lowercase)).alias("word")).groupBy("word").agg(F.count("*").alias("cnt")).persist()
+    try:  # a row for each distinct word, read twice
+        known = _top(counted, "word", model.forced, model.word_budget)
+        rest = gram_counts(counted.where(~F.col("word").isin(list(known))), model.ngram_min, model.ngram_max)
+        pieces = _top(rest, "gram", [SOW, EOW], model.size - model.word_budget)
+    finally:
+        counted.unpersist()
     return Subwords(**{**asdict(model), "words": known, "pieces": pieces})
 
 
