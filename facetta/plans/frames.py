@@ -16,16 +16,19 @@ SIDE, WIDE, HIGH = 32, 6, 5
 def frame_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jaccard of the rasterised frames, the sum of angle errors and the number of frame pairs of every order."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_tax", "l_discount")])
-    x, y = F.col("l_linenumber") * 3.0, F.floor(F.col("l_quantity") / 4).cast("double")
-    dx, dy = (F.floor(F.round(F.col(c) * 100) / n).cast("double") for c, n in (("l_tax", 2), ("l_discount", 3)))
 
     def frame(left, top, angle):
         corners = F.array(*[F.array(left + a, top + b) for a, b in ((0, 0), (WIDE, 0), (WIDE, HIGH), (0, HIGH))])
         return F.struct((angle * 360).alias("angle"), corners.alias("corners"))
 
-    # a line's two frames stay together: line numbers repeat within an order
-    pair = F.struct("l_linenumber", frame(x, y, F.col("l_discount")).alias("gt"), frame(x + dx, y + dy, F.col("l_tax")).alias("pred"))
-    orders = lines.groupBy(F.col("l_orderkey").alias("sample_id")).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
+    def pair(line):
+        x, y = line.l_linenumber * 3.0, F.floor(line.l_quantity / 4).cast("double")
+        dx, dy = (F.floor(F.round(line[c] * 100) / n).cast("double") for c, n in (("l_tax", 2), ("l_discount", 3)))
+        return F.struct(frame(x, y, line.l_discount).alias("gt"), frame(x + dx, y + dy, line.l_tax).alias("pred"))
+
+    # lines are gathered, not their frames, which are ten times as wide; a line's two frames stay together: line numbers repeat within an order
+    orders = lines.groupBy(F.col("l_orderkey").alias("sample_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_tax", "l_discount"))).alias("lines"))
+    orders = orders.select("sample_id", F.transform("lines", pair).alias("pairs"))
     orders = orders.select("sample_id", F.col("pairs.gt").alias("gt"), F.col("pairs.pred").alias("pred"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"))
     found = T.frame_rows(orders)
     return found.select(F.col("sample_id").alias("img"), F.round("jaccard", 6).alias("jaccard"), F.round("angle_error", 4).alias("angle_error"), "n_angles")

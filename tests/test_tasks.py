@@ -4,10 +4,12 @@ import json
 import pickle
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from facetta.operators import images as I
+from facetta.plans import frames
 from facetta.plans import tasks as T
 from facetta.sources import images as S
 
@@ -205,6 +207,71 @@ def test_frame_scores_by_hand(spark):
     assert got[2] == (1.0, 0.0, 0) and got[3] == (pytest.approx(16 / 25), pytest.approx(0.0, abs=1e-5), 1)
 
 
+def _random_frames(rng, h, w):
+    """Upright and turned quadrangles, triangles and frames without corners; on pixels, between, beyond the border and as lines."""
+    out = []
+    for _ in range(rng.integers(0, 5)):
+        x0, y0 = rng.integers(-5, w + 5), rng.integers(-5, h + 5)
+        dx, dy = rng.integers(0, 12, 2)
+        near = rng.choice([0, 0, 0.5, 0.25, 1e-10, 1e-7])
+        square = [[x0 + near, y0 + near], [x0 + dx + near, y0 + near], [x0 + dx + near, y0 + dy + near], [x0 + near, y0 + dy + near]]
+        kinds = [square, square[::-1], square[1:] + square[:1], square[:3], rng.uniform(-3, 30, (4, 2)).tolist(), [], [[0.2, 0.2], [0.3, 0.2], [0.3, 0.3], [0.2, 0.3]]]
+        out.append({"angle": float(rng.choice([0, 10, 33.3, 179, 90])), "corners": [list(map(float, p)) for p in kinds[rng.integers(0, len(kinds))]]})
+    return out if rng.random() > 0.1 else None
+
+
+def _by_frames(row):
+    """Jaccard, angle error and number by one frame after the other."""
+    on = np.zeros((2, row["height"], row["width"]), bool)
+    a, b = row["gt"] or [], row["pred"] or []
+    for side, found in zip(on, (a, b)):
+        for f in found:
+            side |= T.K.polygon(side.shape, np.array(f["corners"], float)) > 0
+    either = on.any(axis=0).sum()
+    wrong = [T._turned(x["angle"], y["angle"]) for x, y in zip(a, b)]
+    return on.all(axis=0).sum() / either if either else 1.0, sum(wrong), len(wrong)
+
+
+_FRAME_BATCH = pa.schema([("sample_id", pa.int64()), ("height", pa.int32()), ("width", pa.int32()), *[(c, pa.list_(pa.struct([("angle", pa.float64()), ("corners", pa.list_(pa.list_(pa.float64())))]))) for c in ("gt", "pred")]])
+
+
+def _frame_batch(rows):
+    return pa.RecordBatch.from_pylist(rows, schema=_FRAME_BATCH)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_frames_of_a_batch_match_one_at_a_time(seed):
+    rng = np.random.default_rng(seed)
+    sizes = [(int(h), int(w)) for h, w in rng.integers(1, 40, (60, 2))] + [(0, 7), (1200, 1000), (9, 9), (900, 1300)]
+    rows = [{"sample_id": i, "height": h, "width": w, "gt": _random_frames(rng, h, w), "pred": _random_frames(rng, h, w)} for i, (h, w) in enumerate(sizes)]
+    for batch in (_frame_batch(rows), _frame_batch(rows).slice(7, 50), _frame_batch([])):
+        (got,) = T._frame_rows([batch])
+        want = [(r["sample_id"], *_by_frames(r)) for r in batch.to_pylist()]
+        found = list(zip(*got.to_pydict().values())) if got.num_rows else []
+        assert [f[0] for f in found] == [x[0] for x in want] and [f[3] for f in found] == [x[3] for x in want]
+        assert np.allclose([f[1:3] for f in found], [x[1:3] for x in want], rtol=1e-12, atol=1e-12)
+
+
+def test_upright_frames_are_rasterised_together(monkeypatch):
+    monkeypatch.setattr(T.K, "polygon", None)
+    square = lambda x, y: [{"angle": 5.0, "corners": [[x, y], [x + 6.0, y], [x + 6.0, y + 5.0], [x, y + 5.0]]}]
+    (got,) = T._frame_rows([_frame_batch([{"sample_id": i, "height": 32, "width": 32, "gt": square(1.0, 2.0), "pred": square(1.0 + i % 3, 2.0)} for i in range(2000)])])
+    assert got.column(1).to_pylist()[:3] == [1.0, 36 / 48, 30 / 54] and got.column(3).to_pylist() == [1] * 2000
+
+
+def test_frame_without_angle_or_size_is_an_error():
+    row = {"sample_id": 1, "height": 3, "width": 3, "gt": [{"angle": None, "corners": []}], "pred": []}
+    with pytest.raises(ValueError, match="no angle"):
+        list(T._frame_rows([_frame_batch([row])]))
+    with pytest.raises(ValueError, match="no size"):
+        list(T._frame_rows([_frame_batch([row | {"gt": [], "width": None}])]))
+
+
+def test_frame_score_gathers_lines_not_frames(spark, sf):
+    plan = frames.frame_score(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "FLOOR" not in plan[plan.index("Exchange") :]  # corners are made of floors
+
+
 def test_hamming_and_pairs(spark):
     from facetta.operators import retrieval as R
 
