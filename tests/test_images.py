@@ -1,6 +1,8 @@
 """Image kernels against plain loops and planted shapes."""
 
+import json
 import math
+import time
 import tracemalloc
 
 import numpy as np
@@ -245,3 +247,81 @@ def test_feature_hog_sends_no_vectors(spark, sf):
     df = catalog.queries()["feature_hog"](spark, sf)
     assert "vector" not in df._jdf.queryExecution().toString()
     assert {(r.n, r.norm is None) for r in df.limit(20).collect()} == {(605520, False)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 6), st.integers(1, 14), st.integers(1, 14), st.sampled_from([0.1, 0.35, 0.5, 0.7, 0.95]), st.integers(0, 10**6))
+def test_regions_of_a_stack(n, h, w, share, seed):
+    masks = (np.random.default_rng(seed).random((n, h, w)) < share).astype(np.uint8)
+    got = list(zip(*(v.tolist() for v in K.stack_regions(masks))))
+    assert got == [(i, r["area"], r["x0"], r["y0"], r["x1"], r["y1"]) for i, m in enumerate(masks) for r in K.regions(m)]
+
+
+def test_regions_of_a_stack_with_holes_and_spirals():
+    rings = np.zeros((3, 21, 21), np.uint8)
+    for i in range(0, 10, 2):
+        rings[0, i : 21 - i, i : 21 - i] = 1
+        rings[0, i + 1 : 20 - i, i + 1 : 20 - i] = 0
+    rings[1, ::2], rings[1, 1::4, -1], rings[1, 3::4, 0] = 1, 1, 1
+    rings[2] = 1
+    want = [(i, r["area"], r["x0"], r["y0"], r["x1"], r["y1"]) for i, m in enumerate(rings) for r in K.regions(m)]
+    assert list(zip(*(v.tolist() for v in K.stack_regions(rings)))) == want and want[0][1] == 441
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(1, 20), st.integers(1, 40), st.integers(1, 40), st.sampled_from([3, 5, 13]), st.integers(0, 10**6))
+def test_smooth_bands(n, h, w, k, seed):
+    rng = np.random.default_rng(seed)
+    bands = [K.dilate((rng.random((h, w)) < 0.05).astype(np.uint8), 4) > 0 for _ in range(n)]
+    want = [K.opening(K.closing(b.astype(np.uint8), k), k) for b in bands]
+    assert np.array_equal(K.smooth_bands(bands, k), want)
+
+
+def each_band(img, width=800, min_area=0.01, max_area=0.15):
+    """level_text, each band on its own."""
+    x = K.gray(img)
+    small = K.gaussian(K.resize(x, width=width) if x.shape[1] > width else x, 5)
+    boxes = []
+    for level in range(0, 256, 2):
+        for reach in (5, 10):
+            band = (np.abs(small - level) <= reach).astype(np.uint8)
+            if band.mean() >= min_area:
+                boxes += [b for b in I._text_like(K.opening(K.closing(band, 13), 13), min_area, max_area) if b not in boxes]
+    return I._box_mask(*I._scaled(x.shape, small.shape, boxes))
+
+
+def test_level_text_finds_what_each_band_has(monkeypatch):
+    grid = lambda: np.kron(RNG.integers(80, 180, (8, 8, 3)), np.ones((8, 8, 1))).astype(np.uint8)
+    bars = picture()
+    bars[95:110, 20:100], bars[5:20, 10:140], bars[100:104, 40:60] = 40, 120, 200
+    images = [grid() for _ in range(8)] + [bars, bars[..., 0], picture(30, 50, (5, 5, 40, 20)), np.full((64, 64, 3), 9, np.uint8), np.zeros((1, 1, 3), np.uint8), np.tile(np.linspace(0, 255, 900).astype(np.uint8), (60, 1))]
+    found = 0
+    for size in (I.BAND_PIXELS, 1):
+        monkeypatch.setattr(I, "BAND_PIXELS", size)
+        for img in images:
+            (mask, boxes), (want, all_) = I.level_text(img), each_band(img)
+            assert boxes == all_ and np.array_equal(mask, want)
+            found += len(boxes)
+        assert I.level_text(bars, min_area=0.002, max_area=0.5)[1] == each_band(bars, min_area=0.002, max_area=0.5)[1]
+    assert found > 20
+
+
+def test_level_text_looks_at_bands_together():
+    images = [np.kron(np.random.default_rng(i).integers(80, 180, (8, 8, 3)), np.ones((8, 8, 1))).astype(np.uint8) for i in range(10)]
+    seconds = []
+    for f in (I.level_text, each_band):
+        f(images[0])
+        began = time.thread_time()
+        for img in images:
+            f(img)
+        seconds.append(time.thread_time() - began)
+    assert seconds[0] < seconds[1] / 3
+
+
+def test_stupid_text_detector_runs(spark, sf):
+    rows = {r.sample_id: r for r in catalog.queries()["image_stupid_text_detector"](spark, sf).collect()}
+    some = plans.grids(spark, sf).orderBy("sample_id").limit(20).collect()
+    assert len(rows) == plans.grids(spark, sf).count()
+    for r in some:
+        boxes = each_band(I.decode(64, 64, 3, bytes(r.image.data)))[1]
+        assert json.loads(rows[r.sample_id].boxes) == [list(b) for b in boxes] and rows[r.sample_id].n_boxes == len(boxes)
